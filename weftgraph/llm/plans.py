@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import mixing, packing, termfreq
+from weftgraph.llm import hnsw, mixing, packing, syntax, termfreq
 from weftgraph.sources.tables import table
 
 
@@ -24,6 +24,35 @@ def p1_term_counts(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d).select("field", "term", "occurrences", "records", F.round("share", 9).alias("share"), "mark")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that a parser of their extension's language rejects."""
+    return syntax.verdicts(table(spark, d, "source_files").select("file_id", "source_file", "text")).where("not valid").select("file_id").distinct()
+
+
+def p3_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The first error of each file that does not parse, and whether an earlier parser reported anything on it."""
+    files = syntax.verdicts(table(spark, d, "source_files").select("file_id", "source_file", "text", "project_id"), keep=("project_id", "source_file")).where("not valid")
+    hints = table(spark, d, "parse_errors").select("project_id", F.regexp_replace(F.regexp_replace("file_path", r"\\\\", "/"), r"^(\./|/)+", "").alias("source_file")).distinct().withColumn("reported", F.lit(True))
+    return files.distinct().join(hints, ["project_id", "source_file"], "left").select("file_id", "project_id", "language", "error", "error_line", F.coalesce("reported", F.lit(False)).alias("reported"))
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Files, invalid files and their rate per project and language."""
+    v = syntax.verdicts(table(spark, d, "source_files").select("file_id", "source_file", "text", "project_id"), keep=("project_id",))
+    return syntax.rates(v, ["project_id", "language"])
+
+
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar embeddings of every usable embedding within its project."""
+    return hnsw.nearest(table(spark, d, "node_embeddings").select("vec_id", "project_id", "semantic_embedding"), 10).select("id", "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a cosine similarity of at least 0.95, one among the five most similar of the other."""
+    found = hnsw.nearest(table(spark, d, "node_embeddings").select("vec_id", "project_id", "semantic_embedding"), 5)
+    return hnsw.close_pairs(found, 0.95).select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"))
+
+
 def _capacity(spark: SparkSession, d: str) -> int:
     return int(table(spark, d, "context_sizes").agg(F.min("capacity")).first()[0])
 
@@ -58,7 +87,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p8_found, p8_containers, p9_found, p9_mixture, p9_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_errors, p3_rates, p7_found, p7_neighbours, p8_found, p8_containers, p9_found, p9_mixture, p9_report)}
 
 _NODES = "first_rows AS (SELECT project_id, id, modifiers, annotations FROM code_nodes QUALIFY row_number() OVER (PARTITION BY project_id, id ORDER BY scanned_at NULLS FIRST) = 1)"
 _TERMS = rf"""{_NODES}, raw AS (SELECT 'annotation' AS field, project_id, id, unnest(annotations).name AS v FROM first_rows UNION ALL SELECT 'modifier', project_id, id, unnest(modifiers) FROM first_rows),
