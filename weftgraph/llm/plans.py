@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import hnsw, mixing, packing, syntax, termfreq
+from weftgraph.llm import docpairs, hnsw, mixing, packing, syntax, termfreq
 from weftgraph.sources.tables import table
 
 
@@ -42,6 +42,17 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(v, ["project_id", "language"])
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Functions with a body whose own documentation isn't trivial, in files that parse."""
+    files = table(spark, d, "source_files").select("file_id", "project_id", "source_file", "text")
+    return docpairs.pairs(files, code=False, inherit=False).select("file_id", "name", "line")
+
+
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Functions with their code and their own or inherited documentation."""
+    return docpairs.pairs(table(spark, d, "source_files").select("file_id", "project_id", "source_file", "text"))
+
+
 def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar embeddings of every usable embedding within its project."""
     return hnsw.nearest(table(spark, d, "node_embeddings").select("vec_id", "project_id", "semantic_embedding"), 10).select("id", "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
@@ -87,7 +98,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_errors, p3_rates, p7_found, p7_neighbours, p8_found, p8_containers, p9_found, p9_mixture, p9_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_errors, p3_rates, p6_found, p6_pairs, p7_found, p7_neighbours, p8_found, p8_containers, p9_found, p9_mixture, p9_report)}
 
 _NODES = "first_rows AS (SELECT project_id, id, modifiers, annotations FROM code_nodes QUALIFY row_number() OVER (PARTITION BY project_id, id ORDER BY scanned_at NULLS FIRST) = 1)"
 _TERMS = rf"""{_NODES}, raw AS (SELECT 'annotation' AS field, project_id, id, unnest(annotations).name AS v FROM first_rows UNION ALL SELECT 'modifier', project_id, id, unnest(modifiers) FROM first_rows),
