@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import docpairs, hnsw, mixing, packing, syntax, termfreq
+from weftgraph.llm import docpairs, handwritten, hnsw, mixing, packing, syntax, termfreq
 from weftgraph.sources.tables import table
 
 
@@ -42,6 +42,25 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(v, ["project_id", "language"])
 
 
+def _origin(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, float]]:
+    return handwritten.classify(table(spark, d, "source_files").select("file_id", "project_id", "source_file", "text"), table(spark, d, "projects").select("project_id", "exclude_paths"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Generated, minified, third-party and data files."""
+    return _origin(spark, d)[0].where("not handwritten").select("file_id")
+
+
+def p5_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The classifier's score and the part of shared windows of every file."""
+    return _origin(spark, d)[0].select("file_id", F.round("score", 6).alias("score"), F.round("share", 6).alias("share"), "handwritten")
+
+
+def p5_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy, precision and recall on the repositories held out of the fit."""
+    return spark.createDataFrame(sorted(_origin(spark, d)[1].items()), "figure string, value double")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Functions with a body whose own documentation isn't trivial, in files that parse."""
     files = table(spark, d, "source_files").select("file_id", "project_id", "source_file", "text")
@@ -98,7 +117,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_errors, p3_rates, p6_found, p6_pairs, p7_found, p7_neighbours, p8_found, p8_containers, p9_found, p9_mixture, p9_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_errors, p3_rates, p5_found, p5_scores, p5_validation, p6_found, p6_pairs, p7_found, p7_neighbours, p8_found, p8_containers, p9_found, p9_mixture, p9_report)}
 
 _NODES = "first_rows AS (SELECT project_id, id, modifiers, annotations FROM code_nodes QUALIFY row_number() OVER (PARTITION BY project_id, id ORDER BY scanned_at NULLS FIRST) = 1)"
 _TERMS = rf"""{_NODES}, raw AS (SELECT 'annotation' AS field, project_id, id, unnest(annotations).name AS v FROM first_rows UNION ALL SELECT 'modifier', project_id, id, unnest(modifiers) FROM first_rows),
