@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from weftgraph.session import written
 
 #: Files that the classifier is fitted on, at most, and size of the hashed feature space.
-SAMPLE_FILES = 6_000
+SAMPLE_FILES = 3_000
 BITS = 17
 #: Lines of a window.
 WINDOW = 4
@@ -231,7 +231,7 @@ def train(rows: DataFrame, share: DataFrame, sample_files: int = SAMPLE_FILES, h
     got = got.drop_duplicates("file_id").sort_values("file_id").head(sample_files)
     if not len(got) or got["label"].nunique() < 2:
         return Machine(), {"files": float(len(got)), "accuracy": 1.0, "precision": 1.0, "recall": 1.0}
-    data = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(b, np.float32).astype(np.float64)) for a, b in zip(got["i"], got["v"])]
+    data = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32)) for a, b in zip(got["i"], got["v"])]
     label, s = got["label"].tolist(), got["share"].tolist()
     held = np.array([xxhash.xxh32_intdigest(str(p)) % 5 == 0 for p in got["project_id"]])
     fit = [i for i in range(len(data)) if not held[i]]

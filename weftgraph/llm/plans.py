@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import docpairs, handwritten, hnsw, mixing, packing, syntax, termfreq
+from weftgraph.llm import abuse, docpairs, handwritten, hnsw, mixing, packing, syntax, termfreq
 from weftgraph.sources.tables import table
 
 
@@ -117,7 +117,26 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_errors, p3_rates, p5_found, p5_scores, p5_validation, p6_found, p6_pairs, p7_found, p7_neighbours, p8_found, p8_containers, p9_found, p9_mixture, p9_report)}
+def _abuse(spark: SparkSession, d: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return abuse.score(table(spark, d, "documents").select("doc_id", "text", mixing.normal_source(F.col("source")).alias("source")), table(spark, d, "abuse_labels").select("doc_id", "abusive"), keep)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with abusive, hateful or sexually explicit language."""
+    return _abuse(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document."""
+    return _abuse(spark, d).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, abusive documents and their rate per source."""
+    return abuse.rates(_abuse(spark, d, ("source",)), "source")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_errors, p3_rates, p5_found, p5_scores, p5_validation, p6_found, p6_pairs, p7_found, p7_neighbours, p8_found, p8_containers, p9_found, p9_mixture, p9_report, p10_found, p10_scores, p10_rates)}
 
 _NODES = "first_rows AS (SELECT project_id, id, modifiers, annotations FROM code_nodes QUALIFY row_number() OVER (PARTITION BY project_id, id ORDER BY scanned_at NULLS FIRST) = 1)"
 _TERMS = rf"""{_NODES}, raw AS (SELECT 'annotation' AS field, project_id, id, unnest(annotations).name AS v FROM first_rows UNION ALL SELECT 'modifier', project_id, id, unnest(modifiers) FROM first_rows),
