@@ -68,3 +68,8 @@ def ends(nodes: DataFrame, prefix: str, *cols: str) -> DataFrame:
 def resolved(edges: DataFrame, nodes: DataFrame, *cols: str) -> DataFrame:
     """Edges whose ends are both nodes of their project, with ``source_<col>`` and ``target_<col>``."""
     return edges.join(ends(nodes, "source", *cols), ["project_id", "source"]).join(ends(nodes, "target", *cols), ["project_id", "target"])
+
+
+def inner_edges(g: Graph) -> DataFrame:
+    """Edges whose ends are both nodes of their project: what a graph store would hold of them."""
+    return resolved(g.edges, g.nodes)

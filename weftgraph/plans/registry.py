@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from weftgraph.plans import problems
+from weftgraph.plans import graph_queries, problems
 
-FLAGSHIP = "p4_found"
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+FLAGSHIP = "ck_metrics_lifted"
+QUERIES = {**problems.QUERIES, **graph_queries.QUERIES}
+ORACLE = {**problems.ORACLE, **graph_queries.ORACLE}
