@@ -49,8 +49,7 @@ def wmc(g: Graph) -> DataFrame:
 
 def dit(g: Graph) -> DataFrame:
     """Length of the longest trail of extends links."""
-    lines = traverse.trails(g.links("extends").where("source is not null and target is not null"), g.typed("class").select(*KEY))
-    return lines.groupBy("project_id", F.col("start").alias("id")).agg(F.max("hops").cast("bigint").alias("dit"))
+    return traverse.longest_lines(g).select(*KEY, F.col("hops").alias("dit"))
 
 
 def noc(g: Graph) -> DataFrame:

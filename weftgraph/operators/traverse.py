@@ -5,15 +5,21 @@ Loops over hops write each frontier to the shared folder; a round's action is th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from weftgraph.graph import Graph, ends, symmetric
+from weftgraph.operators import hierarchy
 from weftgraph.session import written
 
 #: Longest trail that is followed; inheritance lines are far shorter.
 MOST_HOPS = 200
+#: Up to so many links on or below cycles are walked in one task; more are followed by joins.
+ONE_TASK_LINKS = 100_000
 
 
 def trails(links: DataFrame, starts: DataFrame, most_hops: int = MOST_HOPS) -> DataFrame:
@@ -40,18 +46,57 @@ def trails(links: DataFrame, starts: DataFrame, most_hops: int = MOST_HOPS) -> D
     return out
 
 
+def longest_lines(g: Graph) -> DataFrame:
+    """``project_id, id, hops, path`` of the longest trail of extends links of every class that extends something.
+
+    Where each node extends at most one, lines are the paths of :mod:`weftgraph.operators.hierarchy`, which needs no round
+    per level, and only classes on or below cycles are followed step by step; otherwise all are.
+    """
+    e = g.links("extends").where("source is not null and target is not null").select("project_id", "source", "target")
+    classes = g.typed("class").select("project_id", "id")
+    if not e.groupBy("project_id", "source").agg(F.count_distinct("target").alias("k")).where("k > 1").isEmpty():
+        return _longest(trails(e, classes))
+    project = F.split("grp", "\x1e")[0]
+    solved = written(hierarchy.resolve(e, ["project_id"], "source", "target").where("state <> 'tree' or depth > 0").select(project.alias("project_id"), F.col("node").alias("id"), "depth", "path", "state"), "lines")
+    tree = solved.where("state = 'tree'").join(classes, ["project_id", "id"]).select("project_id", "id", F.col("depth").alias("hops"), F.reverse(F.split("path", hierarchy.SEP)).alias("path"))
+    odd = solved.where("state <> 'tree'").select("project_id", "id")
+    steps = e.distinct().withColumnRenamed("source", "id").join(odd, ["project_id", "id"]).select("project_id", "id", "target")
+    steps = written(steps, "cyclic")
+    if steps.count() > ONE_TASK_LINKS:
+        return tree.unionByName(_longest(trails(e, odd.join(classes, ["project_id", "id"]))))
+    walked = steps.coalesce(1).mapInPandas(_walk, "project_id string, id string, hops bigint, path array<string>")
+    return tree.unionByName(walked.join(classes, ["project_id", "id"]).select("project_id", "id", "hops", "path"))
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The trail of every node on or below a cycle, one link a node: down to the cycle and once around it."""
+    rows = [r for b in batches for r in b.itertuples(index=False)]
+    up = {(p, i): t for p, i, t in rows}
+    out = []
+    for p, i in up:
+        path, used = [i], set()
+        while (p, path[-1]) in up and path[-1] not in used:
+            used.add(path[-1])
+            path.append(up[p, path[-1]])
+        out.append((p, i, len(path) - 1, path))
+    yield pd.DataFrame(out, columns=["project_id", "id", "hops", "path"])
+
+
+def _longest(t: DataFrame) -> DataFrame:
+    best = t.groupBy("project_id", F.col("start").alias("id")).agg(F.min(F.struct((-F.col("hops")).alias("k"), F.concat_ws("\x1f", "path").alias("p"), "path", "hops")).alias("b"))
+    return best.select("project_id", "id", F.col("b.hops").cast("bigint").alias("hops"), F.col("b.path").alias("path"))
+
+
 def inheritance_lines(g: Graph) -> DataFrame:
     """The longest line of ancestors of every class that extends something: ``project_id, id, depth, path`` (names).
 
     Ties go to the smallest line of ids. An ancestor without a node goes by its id. Classes without ancestors have no row.
     """
-    t = trails(g.links("extends").where("source is not null and target is not null"), g.typed("class").select("project_id", "id"))
-    best = t.groupBy("project_id", "start").agg(F.min(F.struct((-F.col("hops")).alias("k"), F.concat_ws("\x1f", "path").alias("p"), "path", "hops")).alias("b"))
-    steps = best.select("project_id", F.col("start").alias("id"), "b.hops", F.posexplode("b.path").alias("at", "anc"))
+    steps = longest_lines(g).select("project_id", "id", "hops", F.posexplode("path").alias("at", "anc"))
     names = g.nodes.select("project_id", F.col("id").alias("anc"), "name")
     named = steps.join(names, ["project_id", "anc"], "left").withColumn("name", F.coalesce("name", "anc"))
     line = named.groupBy("project_id", "id").agg(F.max("hops").alias("depth"), F.sort_array(F.collect_list(F.struct("at", "name"))).alias("l"))
-    return line.select("project_id", "id", F.col("depth").cast("bigint").alias("depth"), F.array_join(F.transform("l", lambda x: x["name"]), ">").alias("path"))
+    return line.select("project_id", "id", "depth", F.array_join(F.transform("l", lambda x: x["name"]), ">").alias("path"))
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None = 5) -> DataFrame:
