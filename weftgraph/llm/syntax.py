@@ -2,7 +2,7 @@
 
 Per file: the lexer of the extension's language runs with a pushdown stack of open delimiters and finds
 unterminated literals, unbalanced delimiters, premature ends and merge-conflict markers; the acceptors of
-:mod:`weftgraph.llm.grammar` (pushdown automata over the same tokens) find the rest. Python files that pass the lexer
+:mod:`weftgraph.extract.grammar` (pushdown automata over the same tokens) find the rest. Python files that pass the lexer
 get Python's own parser as an exact check. Files are independent of each other, so nothing is shuffled but verdicts.
 """
 
@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.grammar import Java, Script
-from weftgraph.llm.lexers import Bad, c_tokens, conflict, py_tokens
+from weftgraph.extract.grammar import Java, Script
+from weftgraph.extract.lexers import Bad, c_tokens, conflict, py_tokens
 
 #: Languages by extension (fixed values).
 EXTENSIONS = {"java": "java", "py": "python", "pyi": "python", "ts": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "mjs": "javascript", "cjs": "javascript"}
