@@ -46,7 +46,7 @@ class Type(NamedTuple):
 
 
 class _Base:
-    """What was declared: ``found`` functions, ``classes`` (name, base names), ``types``, ``fields`` (name, first token, owner)."""
+    """What was declared: ``found`` functions, ``classes`` (name, base names), ``declared`` types, ``fields`` (name, first token, owner)."""
 
     def __init__(self, tokens: Tokens) -> None:
         self.k, self.t, self.at, self.nl, self.match, _ = tokens
@@ -54,7 +54,7 @@ class _Base:
         self.found: list[Function] = []
         self.classes: list[tuple[str, list[str]]] = []
         self.owners: list[str] = []
-        self.types: list[Type] = []
+        self.declared: list[Type] = []
         self.fields: list[tuple[int, int, str | None]] = []
 
     def note(self, name: int, start: int, body: int) -> None:
@@ -66,7 +66,7 @@ class _Base:
         """A type whose bases stand between token ``head`` and the body that opens at the current token."""
         split = next((i for i in range(head, self.i) if self.t[i] == "implements"), self.i)
         owner = self.owners[-1] if self.owners else None
-        self.types.append(Type(kind, name, start, self.i, self.match.get(self.i, -1), owner, self.names_between(head, split), self.names_between(split, self.i)))
+        self.declared.append(Type(kind, name, start, self.i, self.match.get(self.i, -1), owner, self.names_between(head, split), self.names_between(split, self.i)))
 
     def names_between(self, a: int, b: int) -> list[str]:
         """The last segment of each type name between two tokens, without type arguments."""
@@ -93,13 +93,13 @@ class _Base:
             self.bad()
 
     def attempt(self, f, *a) -> bool:
-        back, n, m, o, y, z = self.i, len(self.found), len(self.classes), len(self.owners), len(self.types), len(self.fields)
+        back, n, m, o, y, z = self.i, len(self.found), len(self.classes), len(self.owners), len(self.declared), len(self.fields)
         try:
             f(*a)
             return True
         except Bad:
             self.i = back
-            del self.found[n:], self.classes[m:], self.owners[o:], self.types[y:], self.fields[z:]
+            del self.found[n:], self.classes[m:], self.owners[o:], self.declared[y:], self.fields[z:]
             return False
 
     def shift(self) -> str:
