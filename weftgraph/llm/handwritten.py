@@ -46,7 +46,7 @@ def lines_of(text: str) -> list[str]:
 
 def masked(text: str) -> str:
     """The text without its leading comments."""
-    return text[_LEADING.match(text).end() :]
+    return text[_LEADING.match(text).end() :].lstrip()
 
 
 def windows(text: str | None) -> list[int]:
