@@ -8,6 +8,7 @@ Files that don't parse give an error row instead of an exception.
 from __future__ import annotations
 
 import ast
+import builtins
 import re
 import sys
 import warnings
@@ -29,7 +30,7 @@ LANGUAGES = {".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".j
 NO_CALL = frozenset("if for while switch catch return throw new super this function typeof await synchronized try assert do else import require".split())
 JAVA_LANG = frozenset("String Object Integer Long Double Float Boolean Byte Short Character Number Math System Thread Runnable Exception RuntimeException Error Throwable Iterable Comparable CharSequence StringBuilder Class Enum Record Void IllegalStateException IllegalArgumentException NullPointerException UnsupportedOperationException IndexOutOfBoundsException ArithmeticException ClassCastException InterruptedException".split())
 BUILTIN_TYPES = frozenset("int long double float boolean byte short char void var str bool list dict set tuple object bytes None".split())
-PY_BUILTIN_BASES = frozenset(n for n in dir(__builtins__ if isinstance(__builtins__, dict) else __builtins__) if n[0].isupper()) | {"object", "dict", "list", "int", "str", "tuple", "set", "type"}
+PY_BUILTIN_BASES = frozenset(n for n in dir(builtins) if n[0].isupper()) | {"object", "dict", "list", "int", "str", "tuple", "set", "type"}
 MODIFIERS = frozenset("public private protected static final abstract native synchronized transient volatile strictfp default sealed export async readonly declare override const".split())
 _EXCEPTION = re.compile(r"(?:Exception|Error)$")
 
@@ -403,7 +404,7 @@ def python(sheet: Sheet, text: str, extended: bool = True) -> None:
             if isinstance(n, ast.Call):
                 target, f = None, n.func
                 if isinstance(f, ast.Name):
-                    target = imports.get(f.id) or names.get(f.id) or (None if f.id in dir(__import__("builtins")) else f"{home}.{f.id}")
+                    target = imports.get(f.id) or names.get(f.id) or (None if f.id in dir(builtins) else f"{home}.{f.id}")
                 elif isinstance(f, ast.Attribute):
                     r = ast.unparse(f.value)
                     first = r.split(".")[0]

@@ -133,15 +133,16 @@ def coverage(g: Graph) -> DataFrame:
     names = plain.where("name is not null").select("project_id", "name").distinct().withColumn("gram", F.substring("name", 1, GRAM))
     lengths = sorted(r[0] for r in names.select(F.length("gram").alias("n")).distinct().collect() if r[0])  # at most GRAM values
     texts = tests.select("project_id", F.explode(F.array("qualified_name", "name")).alias("text")).where("text is not null").distinct()
+    empty = names.where("name = ''").join(texts.select("project_id"), "project_id", "left_semi").select("project_id", "name")
     if lengths:
         grams = F.flatten(F.array(*[_grams("text", n) for n in lengths]))
         pieces = texts.select("project_id", "text", F.explode(F.array_distinct(grams)).alias("gram"))
         short = pieces.select("project_id", "gram").distinct()
         hit = names.where(F.length("name") <= GRAM).join(short, ["project_id", "gram"], "left_semi").select("project_id", "name")
         long = names.where(F.length("name") > GRAM).join(pieces, ["project_id", "gram"]).where(F.contains("text", F.col("name"))).select("project_id", "name").distinct()
-        hit = hit.unionByName(long).unionByName(names.where("name = ''").join(texts.select("project_id"), "project_id", "left_semi").select("project_id", "name"))
+        hit = hit.unionByName(long).unionByName(empty)
     else:
-        hit = names.limit(0).select("project_id", "name")
+        hit = empty
     flag = plain.join(hit.distinct().withColumn("tested", F.lit(1)), ["project_id", "name"], "left")
     out = flag.groupBy("project_id").agg(F.count(F.lit(1)).alias("total_methods"), F.count("tested").alias("methods_with_tests"))
     pct = F.round(F.try_divide(F.lit(100.0).cast("double") * F.col("methods_with_tests"), F.col("total_methods")))

@@ -650,3 +650,66 @@ def method_calls(spark, d):
 def json_attributes(spark, d):
     """Attributes decoded from JSON text."""
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.col("props").isNotNull().alias("valid"))
+
+
+# --- extraction and frameworks ----------------------------------------------------------------------------------
+
+
+def _scan(spark: SparkSession, d: str):
+    from weftgraph.extract.entities import scan
+
+    return scan(table(spark, d, "source_files").select("project_id", "source_file", "text"))
+
+
+@query()
+def extract_nodes(spark, d):
+    """Nodes of all source files."""
+    return _scan(spark, d)[0].nodes.select("project_id", "id", "type", "name", "source_file", "start_line", "end_line")
+
+
+@query()
+def extract_edges(spark, d):
+    """Links of all source files."""
+    return _scan(spark, d)[0].edges.select("project_id", "id", "type", "source", "target")
+
+
+@query()
+def extract_errors(spark, d):
+    """Files that could not be parsed."""
+    return _scan(spark, d)[1]
+
+
+_KNOWN = "('test', 'Testing'), ('beforeeach', 'Testing'), ('fixture', 'Testing'), ('entity', 'Storage'), ('column', 'Storage'), ('inject', 'Wiring'), ('injectable', 'Wiring'), ('component', 'Wiring'), ('override', 'Core'), ('deprecated', 'Core')"
+_FW = f"""{_N}, k(annotation, framework) AS (VALUES {_KNOWN}), o(framework, ord) AS (VALUES ('Testing', 0), ('Storage', 1), ('Wiring', 2), ('Core', 3)),
+ a AS (SELECT source_file AS file, regexp_replace(lower(trim(x.name)), '^@', '') AS name FROM (SELECT source_file, unnest(annotations) AS x FROM n WHERE source_file IS NOT NULL)),
+ f AS (SELECT file, framework, count(*) AS c FROM a JOIN k ON k.annotation = a.name GROUP BY ALL), b AS (SELECT file, f.framework, least(90, 20 * c) AS confidence FROM f JOIN o USING (framework) QUALIFY row_number() OVER (PARTITION BY file ORDER BY c DESC, ord) = 1)"""
+
+
+def _known(spark: SparkSession) -> DataFrame:
+    order = {"Testing": 0, "Storage": 1, "Wiring": 2, "Core": 3}
+    rows = [("any", x.split("'")[3], order[x.split("'")[3]], x.split("'")[1], "") for x in _KNOWN.split("), ")]
+    return spark.createDataFrame(rows, "language string, framework string, module_order int, annotation string, category string")
+
+
+@query("SELECT file, framework, CAST(confidence AS INTEGER) AS confidence FROM b", _FW)
+def framework_from_annotations(spark, d):
+    """The framework of every file by its annotations, over a small dimension."""
+    from weftgraph.extract import frameworks
+
+    a = load(spark, d).nodes.where("source_file is not null").select(F.col("source_file").alias("file"), F.explode("annotations").alias("x"))
+    return frameworks.by_annotations(a.select("file", F.lower(F.trim("x.name")).alias("name"), F.lit("any").alias("language")), _known(spark)).drop("module_order")
+
+
+_IMP = r"""i AS (SELECT DISTINCT file_id AS file, unnest(regexp_extract_all(text, '(?m)^import (?:static )?([a-z][A-Za-z0-9_.]*)', 1)) AS module FROM source_files WHERE source_file LIKE '%.java'),
+ p(framework, regex, confidence, ord) AS (VALUES ('Collections', '^java\.util.*$', 60, 0), ('Core', '^[a-z]+\.core.*$', 80, 1)), b AS (SELECT file, framework, confidence FROM i JOIN p ON regexp_matches(i.module, p.regex) QUALIFY row_number() OVER (PARTITION BY file ORDER BY confidence DESC, ord) = 1)"""
+
+
+@query("SELECT file, framework, confidence FROM b", _IMP)
+def framework_from_imports(spark, d):
+    """The framework of every Java file by its imports, over a small dimension of patterns."""
+    from weftgraph.extract import frameworks
+
+    f = table(spark, d, "source_files").where("source_file like '%.java'").select(F.col("file_id").alias("file"), "text").distinct()
+    i = f.select("file", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^import (?:static )?([a-z][A-Za-z0-9_.]*)"), F.lit(1))).alias("module"), F.lit("java").alias("language")).distinct()
+    pats = spark.createDataFrame([("java", "Collections", 0, "", r"^java\.util.*$", 60), ("java", "Core", 1, "", r"^[a-z]+\.core.*$", 80)], "language string, framework string, module_order int, pattern string, regex string, confidence int")
+    return frameworks.by_imports(i, pats).drop("module_order")
