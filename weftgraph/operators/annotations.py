@@ -165,6 +165,6 @@ def untestable(g: Graph) -> DataFrame:
 
 def testing_summary(g: Graph) -> DataFrame:
     """Testing entities, frameworks and annotations in all."""
-    e = testing_entities(g).agg(F.count(F.lit(1)).alias("total_test_entities"))
+    e = testing_entities(g).agg(F.count(F.lit(1))).scalar()
     f = testing_frameworks(g).agg(F.count_distinct(F.coalesce("framework", F.lit(""))).alias("frameworks_used"), F.coalesce(F.sum("usage_count"), F.lit(0)).alias("total_testing_annotations"))
-    return e.crossJoin(f)  # one row each
+    return f.select(e.alias("total_test_entities"), "*")

@@ -30,18 +30,12 @@ def per_key(df: DataFrame, key: str, measures: dict[str, Column] | None = None)
 def key_shares(df: DataFrame, key: str, measures: dict[str, Column] | None = None, hot_share: float = HOT_SHARE) -> DataFrame:
     """:func:`per_key` with ``share`` of the rows that have a key, and ``hot`` where it reaches ``hot_share``.
 
-    The total is summed from the per-key counts, so the table is shuffled once (the exchange is reused) and the
-    total is a single row, which is what's broadcast.
+    The total is a scalar subquery over the per-key counts, so the table is shuffled once (the exchange is reused).
     """
     counts = per_key(df, key, measures)
-    total = counts.agg(F.sum("n_rows").alias("__total"))
-    share = F.try_divide(F.col("n_rows").cast("double"), F.col("__total"))
-    return (
-        counts.crossJoin(F.broadcast(total))  # one row
-        .withColumn("share", share)
-        .withColumn("hot", F.col("n_rows") >= F.lit(hot_share) * F.col("__total"))
-        .drop("__total")
-    )
+    total = counts.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).scalar()
+    share = F.try_divide(F.col("n_rows").cast("double"), total)
+    return counts.withColumn("share", share).withColumn("hot", F.col("n_rows") >= F.lit(hot_share) * total)
 
 
 def distinct_per_key(df: DataFrame, key: str, value: str) -> DataFrame:
