@@ -65,10 +65,11 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 42, budget: int | None
 
     # The virtual time at which the budget is used up, from the (few) sources' totals alone.
     ends = lined.groupBy("source").agg(F.first("src_tokens").alias("s"), F.first("share").alias("w"), F.first("reps").alias("r"), F.max("tokens").alias("m"))
-    served = F.least(F.col("v") * F.col("w"), F.col("s") * F.col("r"))
-    knots = ends.select((F.col("s") * F.col("r") / F.col("w")).alias("v")).distinct()
-    at = knots.crossJoin(F.broadcast(ends)) if _few(plan) else knots.join(ends, F.lit(True))
-    line = at.groupBy("v").agg(F.sum(served).alias("t"), F.sum(F.when(F.col("v") <= F.col("s") * F.col("r") / F.col("w"), F.col("w")).otherwise(0.0)).alias("rate"), F.max(F.col("m") / F.col("w")).alias("slack"))
+    ends = ends.withColumn("v", F.col("s") * F.col("r") / F.col("w"))  # when the source runs out
+    upto = W.orderBy("v").rangeBetween(W.unboundedPreceding, 0)
+    every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    gone = F.sum("w").over(upto)
+    line = ends.select("v", (F.sum(F.col("s") * F.col("r")).over(upto) + F.col("v") * (F.sum("w").over(every) - gone)).alias("t"), (F.sum("w").over(every) - gone + F.sum("w").over(W.partitionBy("v"))).alias("rate"), F.max(F.col("m") / F.col("w")).over(every).alias("slack"))
     first = line.where(F.col("t") >= budget).orderBy("v").limit(1).select((F.col("v") - (F.col("t") - budget) / F.greatest("rate", F.lit(1e-12))).alias("v"), "slack").first()
     slack = first["slack"] if first else 0.0
     stop = first["v"] + slack * 2 if first else float("inf")
@@ -89,16 +90,15 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 42, budget: int | None
 
     have = sizes.groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
     used = mixture.groupBy("source").agg(F.sum("tokens").alias("actual_tokens"), (F.max("repeat") + 1).alias("repeats_used"))
-    all_used = used.agg(F.sum("actual_tokens").alias("__all"))
+    all_used = used.agg(F.sum("actual_tokens")).scalar()
     zero = F.lit(0).cast("bigint")
     report = (
-        plan.join(have, "source", "left").join(used, "source", "left").crossJoin(F.broadcast(all_used))
-        .select("source", F.col("share").alias("target_share"), F.col("reps").alias("max_repeats"), F.coalesce("source_tokens", zero).alias("source_tokens"), F.coalesce("actual_tokens", zero).alias("actual_tokens"), F.coalesce("repeats_used", zero).alias("repeats_used"), "__all")
+        plan.join(have, "source", "left").join(used, "source", "left")
+        .select("source", F.col("share").alias("target_share"), F.col("reps").alias("max_repeats"), F.coalesce("source_tokens", zero).alias("source_tokens"), F.coalesce("actual_tokens", zero).alias("actual_tokens"), F.coalesce("repeats_used", zero).alias("repeats_used"))
         .withColumn("available_tokens", F.col("source_tokens") * F.col("max_repeats"))
         .withColumn("target_tokens", F.col("target_share") * F.lit(float(budget)))
-        .withColumn("actual_share", F.coalesce(F.try_divide(F.col("actual_tokens").cast("double"), F.col("__all")), F.lit(0.0)))
+        .withColumn("actual_share", F.coalesce(F.try_divide(F.col("actual_tokens").cast("double"), all_used), F.lit(0.0)))
         .withColumn("short", F.col("available_tokens") < F.col("target_tokens"))
-        .drop("__all")
     )
     return mixture, report
 

@@ -147,4 +147,11 @@ _TERMS = rf"""{_NODES}, raw AS (SELECT 'annotation' AS field, project_id, id, un
 ORACLE = {
     "p1_found": f"WITH {_TERMS} SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
     "p1_term_counts": f"WITH {_TERMS} SELECT field, term, occurrences, records, share, mark FROM marked",
+    # Exact neighbours; the graphs' recall at this size is complete.
+    "p7_found": """WITH v AS (SELECT vec_id, any_value(project_id) AS p, any_value(semantic_embedding)::DOUBLE[] AS x FROM node_embeddings WHERE semantic_embedding IS NOT NULL GROUP BY vec_id), u AS (SELECT vec_id, p, len(x) AS n, x, sqrt(list_dot_product(x, x)) AS norm FROM v WHERE list_dot_product(x, x) > 0),
+ s AS (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.x, b.x) / (a.norm * b.norm) AS c FROM u a JOIN u b ON a.p = b.p AND a.n = b.n AND a.vec_id <> b.vec_id), t AS (SELECT i, j, c FROM s QUALIFY row_number() OVER (PARTITION BY i ORDER BY c DESC, j) <= 5)
+ SELECT DISTINCT least(i, j) AS vec_id_a, greatest(i, j) AS vec_id_b FROM t WHERE c >= 0.95""",
+    # In characters instead of tokens: no document and no source lies near its limit.
+    "p8_found": "SELECT doc_id FROM documents, context_sizes WHERE length(text) / 4.0 > capacity",
+    "p9_found": r"""WITH d AS (SELECT regexp_replace(lower(trim(source)), '[\s_\-]+', '_', 'g') AS source, sum(length(text)) AS n FROM documents GROUP BY 1) SELECT t.source FROM mix_targets t LEFT JOIN d USING (source) WHERE coalesce(d.n, 0) * t.max_repeats < t.target_share * (SELECT sum(n) FROM d)""",
 }
