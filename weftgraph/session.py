@@ -8,8 +8,11 @@ blocks or on ``localCheckpoint``.
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +64,25 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever they run: once per context, through the shared folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_weftgraph_shipped", False):
+        return
+    root, box = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.writestr(f"{root.name}/{p.relative_to(root)}", p.read_bytes())
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/weftgraph-{uuid.uuid4().hex}/weftgraph.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    try:
+        out.write(bytearray(box.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(path.toString())
+    sc._weftgraph_shipped = True
+
+
 def written(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
