@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from weftgraph.session import written
 
 #: Files that the classifier is fitted on, at most, and size of the hashed feature space.
-SAMPLE_FILES = 3_000
+SAMPLE_FILES = 5_000
 BITS = 17
 #: Lines of a window.
 WINDOW = 4
 EPOCHS = 12
+PRIOR_WINDOWS = 3
 #: Labels of the training files: shared windows from here are third-party code, below there hand-written.
 COPY_FROM, OWN_BELOW = 0.60, 0.45
 _NOTICE = re.compile(r"(?i)^(?!.*\b(?:tests? for|writes the|renders|unlike)\b).*(?:\bdo not (?:edit|modify)|\b(?:auto-?|automatically )generated\b|@generated\b|\bcode generated by\b|\bgenerated (?:on|by|from|with|file)\b|\bproduced by .*compiler|machine[- ]written|<auto-generated|edits are overwritten|changes will be lost)")
@@ -119,7 +120,7 @@ def features(path: str | None, text: str | None, excluded: bool) -> tuple[np.nda
     cls = _CLASS[raw]
     run = cls[np.r_[True, (cls[1:] != cls[:-1]) | ~np.isin(cls[1:], np.frombuffer(b"a0 \n", np.uint8))]] if len(cls) else cls
     lower = np.where((raw >= 65) & (raw <= 90), raw + 32, np.where((raw >= 48) & (raw <= 57), 48, raw)).astype(np.uint8)
-    parts = [(np.concatenate([_grams(lower, 4, 11), _grams(lower, 6, 13)]), 1.0), (np.concatenate([_grams(run, 5, 17), _grams(run, 9, 19)]), 1.0)]
+    parts = [(_grams(lower, 5, 11), 1.0), (np.concatenate([_grams(run, 5, 17), _grams(run, 9, 19)]), 1.0)]
     comps = (path or "").lower().split("/")
     file = comps[-1]
     names = [f"dir:{c}" for c in comps[:-1]] + [f"pair:{a}/{b}" for a, b in zip(comps, comps[1:-1])] + [f"ext:{e}" for e in file.split(".")[1:]] + ["end:" + re.sub(r"\d+", "0", file.rsplit(".", 1)[0])[-4:], f"deep:{min(len(comps), 8)}"]
@@ -140,8 +141,8 @@ def features(path: str | None, text: str | None, excluded: bool) -> tuple[np.nda
 
 
 def copied(share: float) -> float:
-    """The value of the feature of shared windows: from -1 (none) to 1 (all)."""
-    return 2.0 * min(1.0, max(0.0, (share - 0.2) / 0.6)) - 1.0
+    """The value of the feature of shared windows: from 0 (few) to 1 (most); a file that nobody shares may still be generated."""
+    return min(1.0, max(0.0, (share - 0.2) / 0.6))
 
 
 class Machine:
@@ -192,7 +193,10 @@ def _glob(pattern: str) -> re.Pattern:
 
 
 def shares(files: DataFrame) -> DataFrame:
-    """``file_id, share``: the part of a file's line windows that occur in at least two projects (0 without any)."""
+    """``file_id, share``: the part of a file's line windows that occur in at least two projects (no row without any).
+
+    Each file is taken to have ``PRIOR_WINDOWS`` unshared ones more, so that a window or two prove nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,7 +206,7 @@ def shares(files: DataFrame) -> DataFrame:
     cols = files.select("file_id", F.coalesce("project_id", F.lit("")).alias("project_id"), "text")
     rows = written(cols.mapInArrow(run, "file_id bigint, project_id string, w array<bigint>").select("file_id", "project_id", F.explode("w").alias("w")).distinct(), "windows")
     both = rows.groupBy("w").agg(F.min("project_id").alias("a"), F.max("project_id").alias("b")).where("a < b").select("w", F.lit(1).alias("two"))
-    return written(rows.join(both, "w", "left").groupBy("file_id").agg((F.count("two") / F.count(F.lit(1))).alias("share")), "shares")
+    return written(rows.join(both, "w", "left").groupBy("file_id").agg((F.count("two") / (F.count(F.lit(1)) + PRIOR_WINDOWS)).alias("share")), "shares")
 
 
 def _rows(files: DataFrame, projects: DataFrame) -> DataFrame:
@@ -266,6 +270,6 @@ def classify(files: DataFrame, projects: DataFrame, sample_files: int = SAMPLE_F
 
     parts = rows.select("file_id", "path", "text", "exclude_paths").mapInArrow(run, "file_id bigint, part double, empty boolean").groupBy("file_id").agg(F.min("part").alias("part"), F.min("empty").alias("empty"))
     s = F.coalesce("share", F.lit(0.0))
-    value = F.lit(2.0) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (s - 0.2) / 0.6)) - 1.0
+    value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (s - 0.2) / 0.6))
     scored = parts.join(share, "file_id", "left").select("file_id", "empty", s.alias("share"), (F.col("part") + F.lit(machine.copy) * value).alias("score"))
     return scored.select("file_id", F.when(F.col("empty"), F.lit(-1.0)).otherwise(F.col("score")).alias("score"), "share", (F.col("empty") | (F.col("score") <= 0)).alias("handwritten")), figures
