@@ -85,7 +85,7 @@ def seed_label(text: str | None, share: float, excluded: bool) -> int | None:
         return 1
     if s["notice"] and s["repeat"] > 0.55:
         return 1
-    if share < OWN_BELOW and not s["notice"] and s["length"] < 80 and s["data"] < 0.4 and not (s["repeat"] > 0.75 and s["lines"] > 20):
+    if share < OWN_BELOW and not s["notice"] and s["length"] < 80 and s["data"] < 0.4 and not (s["repeat"] > 0.75 and s["lines"] >= 8):
         return 0
     return None
 
