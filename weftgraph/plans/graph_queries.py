@@ -190,11 +190,11 @@ def classes_calling_method(spark, d):
     return lookup.classes_calling_method(g, name)
 
 
-@query("SELECT e.project_id, s.name AS class_name, t.name AS interface_name FROM e JOIN n s ON s.project_id = e.project_id AND s.id = e.source JOIN n t ON t.project_id = e.project_id AND t.id = e.target AND t.type IN ('interface', 'class') AND contains(t.name, 'a') WHERE e.type = 'implements'")
+@query("SELECT e.project_id, s.name AS class_name, t.name AS interface_name FROM e JOIN n s ON s.project_id = e.project_id AND s.id = e.source JOIN n t ON t.project_id = e.project_id AND t.id = e.target AND t.type IN ('interface', 'class') WHERE e.type = 'implements'")
 def classes_implementing(spark, d):
-    """Implementers of every interface (or class used as one) of some names, once for each link."""
+    """Implementers of every interface (or class used as one), once for each link."""
     g = load(spark, d)
-    t = g.nodes.where(F.col("type").isin("interface", "class") & F.contains("name", F.lit("a"))).select("project_id", F.col("id").alias("target"), F.col("name").alias("interface_name"))
+    t = g.typed("interface", "class").select("project_id", F.col("id").alias("target"), F.col("name").alias("interface_name"))
     s = g.nodes.select("project_id", F.col("id").alias("source"), F.col("name").alias("class_name"))
     return g.links("implements").join(t, ["project_id", "target"]).join(s, ["project_id", "source"]).select("project_id", "class_name", "interface_name")
 
