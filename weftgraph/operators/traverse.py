@@ -140,17 +140,29 @@ def package_links(g: Graph) -> DataFrame:
     return e.join(a, ["project_id", "source"]).join(b, ["project_id", "target"]).where("a <> b").select("project_id", "a", "b").distinct()
 
 
-def package_cycles(links: DataFrame, most: int = 5) -> DataFrame:
-    """``project_id, package, length``: packages on a closed trail of 2 to ``most`` links, with the shortest length."""
+def package_cycles(links: DataFrame) -> DataFrame:
+    """``project_id, package, length``: packages on a closed trail of 2 to 5 links, with the shortest length.
+
+    Trails are met in the middle: a closed trail of five links is one of three and one of two with the same ends, so walks
+    are made of at most three links, and only from packages without a shorter closed trail.
+    """
     links = written(links, "package_links")
-    at = links.select("project_id", F.col("a").alias("start"), F.col("b").alias("at"))
-    found = None
-    for n in range(2, most + 1):
-        at = written(at.join(links.select("project_id", F.col("a").alias("at"), "b"), ["project_id", "at"]).select("project_id", "start", F.col("b").alias("at")).distinct(), "walk")
-        closed = at.where("start = at").select("project_id", F.col("start").alias("package"), F.lit(n).cast("bigint").alias("length"))
-        found = closed if found is None else found.unionByName(closed)
-        at = at.where("start <> at")
-    return found.groupBy("project_id", "package").agg(F.min("length").alias("length"))
+    one = links.select("project_id", F.col("a").alias("start"), F.col("b").alias("at"))
+    ahead = links.select("project_id", F.col("a").alias("at"), "b")
+    walk = lambda df: df.join(ahead, ["project_id", "at"]).select("project_id", "start", F.col("b").alias("at")).distinct()
+    back = lambda df: df.select("project_id", F.col("at").alias("start"), F.col("start").alias("at"))
+    two = written(walk(one), "two")
+    found: DataFrame | None = None
+    rest = two.where("start <> at")
+    for length, (steps, home) in enumerate(((None, None), (rest, one), (rest, two), (walk, two)), 2):
+        if steps is None:
+            hit = two.where("start = at")
+        else:
+            some = rest.join(found.select("project_id", F.col("package").alias("start")), ["project_id", "start"], "left_anti")  # type: ignore[union-attr]
+            hit = (steps(some) if steps is walk else some).join(back(home), ["project_id", "start", "at"], "left_semi")
+        new = hit.select("project_id", F.col("start").alias("package")).distinct().withColumn("length", F.lit(length).cast("bigint"))
+        found = written(new if found is None else found.unionByName(new), "cycles")
+    return found  # type: ignore[return-value]
 
 
 def missing_ends(g: Graph) -> DataFrame:
