@@ -76,55 +76,75 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-@lru_cache(maxsize=200_000)
 def _hash(term: str) -> int:
     return xxhash.xxh32_intdigest(term) & ((1 << BITS) - 1)
 
 
-def terms(sentence: str) -> list[list[str]]:
-    """The terms of each word of a sentence: the word, its letters in order, its consonants."""
-    s = _PATH.sub(" xpathx ", sentence)
-    s = _CALL.sub(" xcodex ", s)
-    out: list[list[str]] = []
-    for t in _TOKEN.findall(s):
-        if t[0] == "@" and len(t) > 1:
-            out.append(["<user>"])
-        elif t in ("xpathx", "xcodex"):
-            out.append([f"<{t[1:5]}>"])
-        elif t[0].isdigit() and not any(c.isalpha() for c in t):
-            out.append(["<num>"])
-        elif t in "\"“”„«»'`":
-            if not out or out[-1] != ["<quote>"]:
-                out.append(["<quote>"])
-        else:
-            w = plain(t)
-            if re.search(r"[0134579@$!|]", w):
-                w = w.translate(LEET)
-            hidden = "*" in w or "#" in w or "_" in w
-            w = re.sub(r"[^\w]|_", "", w)
-            if not w:
-                continue
-            more = [w]
-            if len(w) > 3:
-                more += [f"<o>{w[0]}{''.join(sorted(set(w[1:])))}{w[-1]}", f"<c>{w[0]}{re.sub('[aeiouy]', '', w[1:])}"]
-                if len(w) > 5:
-                    more.append(f"<s>{w[:5]}")
-            elif hidden:
-                more.append(f"<c>{w[0]}{re.sub('[aeiouy]', '', w[1:])}")
-            out.append(more)
+@lru_cache(maxsize=200_000)
+def _word(t: str) -> tuple[str, ...]:
+    """The terms of one token: the word, its letters in order, its consonants, its start; none of a token without letters."""
+    if t[0] == "@" and len(t) > 1:
+        return ("<user>",)
+    if t in ("xpathx", "xcodex"):
+        return (f"<{t[1:5]}>",)
+    if t[0].isdigit() and not any(c.isalpha() for c in t):
+        return ("<num>",)
+    if t in "\"“”„«»'`":
+        return ("<quote>",)
+    w = plain(t)
+    if re.search(r"[0134579@$!|]", w):
+        w = w.translate(LEET)
+    hidden = "*" in w or "#" in w or "_" in w
+    w = re.sub(r"[^\w]|_", "", w)
+    if not w:
+        return ()
+    more = [w]
+    if len(w) > 3:
+        more += [f"<o>{w[0]}{''.join(sorted(set(w[1:])))}{w[-1]}", f"<c>{w[0]}{re.sub('[aeiouy]', '', w[1:])}"]
+        if len(w) > 5:
+            more.append(f"<s>{w[:5]}")
+    elif hidden:
+        more.append(f"<c>{w[0]}{re.sub('[aeiouy]', '', w[1:])}")
+    return tuple(more)
+
+
+@lru_cache(maxsize=200_000)
+def _hashed(t: str) -> tuple[int, ...]:
+    """The hashed terms of one token, the word's first."""
+    return tuple(_hash(x) for x in _word(t))
+
+
+def _tokens(sentence: str) -> list[str]:
+    """Tokens that have terms; quotation marks in a row count once."""
+    out: list[str] = []
+    quoted = False
+    for t in _TOKEN.findall(_CALL.sub(" xcodex ", _PATH.sub(" xpathx ", sentence))):
+        if _word(t) == ("<quote>",):
+            if not quoted:
+                out.append(t)
+            quoted = True
+        elif _word(t):
+            out.append(t)
+            quoted = False
     return out
 
 
+def terms(sentence: str) -> list[tuple[str, ...]]:
+    """The terms of each word of a sentence."""
+    return [_word(t) for t in _tokens(sentence)]
+
+
 def indices(sentence: str) -> list[np.ndarray]:
-    """Hashed features of a sentence, a piece for each ``MOST_TERMS`` terms (pieces overlap by half)."""
-    t = terms(sentence)
-    step = MOST_TERMS // 2
+    """Hashed terms and pairs of neighbours, a piece for each ``MOST_TERMS`` words (pieces overlap by half)."""
+    t = [_hashed(x) for x in _tokens(sentence)]
+    step, mask = MOST_TERMS // 2, (1 << BITS) - 1
     out = []
     for a in range(0, max(1, len(t) - step), step):
         piece = t[a : a + MOST_TERMS]
-        names = {n for w in piece for n in w} | {f"{x[0]} {y[0]}" for x, y in zip(piece, piece[1:])}
-        if names:
-            out.append(np.unique(np.fromiter((_hash(n) for n in sorted(names)), np.int32)))
+        found = {h for w in piece for h in w}
+        found.update((x[0] * 40_503 + y[0] * 2_654_435_761 + 97 >> 7) & mask for x, y in zip(piece, piece[1:]))
+        if found:
+            out.append(np.array(sorted(found), np.int32))
     return out
 
 
