@@ -91,17 +91,19 @@ def c_tokens(text: str, lang: str) -> Tokens:
         newline.append(nl)
         nl = False
 
+    match_at = rx.match
     while pos < n:
-        m = rx.match(text, pos)
+        m = match_at(text, pos)
         if m is None:
             raise Bad("unterminated literal" if text[pos] in "\"'" else "stray character", pos)
-        g, t, start = m.lastgroup, m.group(), pos
+        g, start = m.lastgroup, pos
         pos = m.end()
         if g == "ws":
             continue
         if g == "nl":
             nl = True
             continue
+        t = m.group()
         if g == "cm":
             comments.append((start, pos))
             if "\n" in t or "\r" in t:
@@ -138,7 +140,11 @@ def c_tokens(text: str, lang: str) -> Tokens:
                 match[o] = i
                 if t == ")":
                     parens[i] = o > 0 and out[o - 1] in ("if", "while", "for", "with") and (o < 2 or out[o - 2] != ".")
-            push("op", t, start)
+            kind.append("op")
+            out.append(t)
+            at.append(start)
+            newline.append(nl)
+            nl = False
         elif g == "tick":
             h = _TPL.match(text, pos)
             if h is None:
@@ -152,7 +158,11 @@ def c_tokens(text: str, lang: str) -> Tokens:
         else:
             if g == "num" and pos < n and (text[pos].isalpha() or text[pos] in "_$"):
                 raise Bad("stray character", pos)
-            push("str" if g == "tb" else g, t, start)
+            kind.append("str" if g == "tb" else g)
+            out.append(t)
+            at.append(start)
+            newline.append(nl)
+            nl = False
     if stack:
         raise Bad("premature end", n)
     push("end", "", n)
