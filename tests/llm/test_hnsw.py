@@ -65,3 +65,22 @@ def test_many_equal_vectors_and_pairs(spark):
     found = H.nearest(df, 5, shard_rows=50, shard_most=60)
     pairs = H.close_pairs(found, 0.95).collect()
     assert all(r.a < r.b and r.similarity == 1.0 for r in pairs) and {i for r in pairs for i in (r.a, r.b)} == set(range(300))
+
+
+def test_recall_around_many_copies(spark):
+    rnd, dim = np.random.default_rng(8), 16
+    x = np.concatenate([np.repeat(rnd.normal(size=(1, dim)), 1000, 0), np.zeros((200, dim)), rnd.normal(size=(1800, dim))])
+    x[1000:1200] = x[0] + 0.25 * rnd.normal(size=(200, dim))
+    kind = np.repeat([0, 1, 2], [1000, 200, 1800])  # copies, vectors near them, others
+    order = rnd.permutation(len(x))
+    x, kind = x[order].astype(np.float32), kind[order]
+    _, s = brute(x, 5)
+    near = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :5]
+    df = spark.createDataFrame([(i, "p", v.tolist()) for i, v in enumerate(x)], "vec_id long, project_id string, semantic_embedding array<float>")
+    got = {}
+    for r in H.nearest(df, 5).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert all(got[i] == near[i].tolist() for i in np.flatnonzero(kind == 0))
+    for part in (1, 2):
+        rows = np.flatnonzero(kind == part)
+        assert sum(len({*got[i]} & {*near[i].tolist()}) for i in rows) / (5 * len(rows)) >= 0.95

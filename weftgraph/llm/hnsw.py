@@ -1,5 +1,7 @@
 """The most similar vectors of every vector (problem 7): HNSW graphs per shard, shard results merged.
 
+0. Equal vectors of one group are indexed and asked once, by the smallest id; the others get its answer, with the ids of
+   all equal ones, after the merge. Copies would otherwise fill each other's links and the beam.
 1. Vectors of one group (project and length) form cells of about ``SHARD_ROWS`` vectors around centroids, which are
    fitted on a bounded sample. A cell that is larger still is split at random into shards of bounded size.
 2. Each vector is indexed in its own cell, and asks the ``PROBES`` cells with the nearest centroids. A shard asked by
@@ -8,7 +10,7 @@
    ``M`` links per vector and layer, ``2 M`` on the lowest) and searched by a beam, for all questions at once.
 4. The shards' best are merged per question with exact cosine similarities.
 
-Every vector is indexed and asked; the work per vector is bounded, so it grows in proportion to the data.
+Every distinct vector is indexed and asked; the work per vector is bounded, so it grows in proportion to the data.
 """
 
 from __future__ import annotations
@@ -153,7 +155,7 @@ def _usable(vectors: DataFrame, id_col: str, group_cols: list[str], vec_col: str
         for b in batches:
             lists = b.column(2)
             n = np.asarray(lists.value_lengths())
-            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32) + np.float32(0)  # -0.0 equals 0.0
             ends = np.cumsum(n)
             wide = x.astype(np.float64)
             squares = np.add.reduceat(np.r_[wide * wide, 0.0], np.minimum(ends - n, len(wide))) if len(n) else np.zeros(0)
@@ -180,6 +182,27 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"grp": pdf["grp"].iloc[0], "cell": np.arange(len(c)), "raw": [r.tobytes() for r in c]})
 
 
+def _expanded(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """From the neighbours of representatives (``grp, id, neighbour, similarity, rank``) those of all vectors.
+
+    ``members`` (``grp, rep, id``) are the vectors that have equals. ``k + 1`` of the smallest ids of each set are enough for
+    every list: a vector's own ones, and its neighbours'.
+    """
+    few = F.row_number().over(W.partitionBy("grp", "rep").orderBy("id"))
+    first = written(members.withColumn("r", few).where(F.col("r") <= k + 1).select("grp", "rep", "id"), "first")
+    reps = first.select("grp", F.col("rep").alias("id")).distinct()
+    others = first.select("grp", F.col("rep").alias("neighbour"), F.col("id").alias("copy"))
+    spread = found.join(others, ["grp", "neighbour"], "left").select("grp", "id", F.coalesce("copy", "neighbour").alias("neighbour"), "similarity")
+    rank = F.row_number().over(W.partitionBy("grp", "id").orderBy(F.desc("similarity"), "neighbour"))
+    single = spread.join(reps, ["grp", "id"], "left_anti").withColumn("rank", rank).where(F.col("rank") <= k).select("id", "neighbour", "similarity", "rank")
+    own = first.select("grp", F.col("rep").alias("id"), F.col("id").alias("neighbour"), F.lit(1.0).alias("similarity"))
+    ranked = spread.join(reps, ["grp", "id"], "left_semi").unionByName(own).withColumn("rank", rank).where(F.col("rank") <= k + 1)
+    lists = ranked.groupBy("grp", F.col("id").alias("rep")).agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "similarity"))).alias("l"))
+    best = members.join(lists, ["grp", "rep"]).select("id", F.slice(F.filter("l", lambda e: e["neighbour"] != F.col("id")), 1, k).alias("l"))
+    copies = best.select("id", F.posexplode("l").alias("at", "e")).select("id", "e.neighbour", "e.similarity", (F.col("at") + 1).alias("rank"))
+    return single.unionByName(copies)
+
+
 def nearest(vectors: DataFrame, k: int, id_col: str = "vec_id", group_cols: tuple[str, ...] = ("project_id",), vec_col: str = "semantic_embedding", shard_rows: int = SHARD_ROWS, shard_most: int = SHARD_MOST, probes: int = PROBES, beam: int = BEAM, m: int = M, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``id, neighbour, similarity, rank``: about the ``k`` most similar vectors of every usable vector in its group.
 
@@ -187,7 +210,10 @@ def nearest(vectors: DataFrame, k: int, id_col: str = "vec_id", group_cols: tupl
     element, and null ids are left out. Rows that repeat an id (in its group and length) count once. Ties are ordered
     by id. Extra columns are ignored; an empty table gives no rows.
     """
-    base = written(_usable(vectors, id_col, list(group_cols), vec_col), "vectors")
+    usable = written(_usable(vectors, id_col, list(group_cols), vec_col), "vectors")
+    sets = written(usable.groupBy("grp", "raw").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "sets")
+    base = sets.select("grp", "id", "raw")
+    several = sets.where("n > 1").select("grp", "raw", F.col("id").alias("rep"))
     sizes = base.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     total = base.count()
     per_cell = max(shard_rows, math.ceil(total / MOST_CELLS))
@@ -229,7 +255,7 @@ def nearest(vectors: DataFrame, k: int, id_col: str = "vec_id", group_cols: tupl
         there = pdf["indexed"].to_numpy(bool)
         own, ask = pdf[there], pdf[~there]
         if not len(own) or not len(ask):
-            return pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
+            return pd.DataFrame({"grp": [], "id": [], "neighbour": [], "similarity": []})
         own = own.sort_values("id")
         ids, x = own["id"].to_numpy(), _matrix(own["raw"])
         graph = Graph(x.astype(np.float32), m)
@@ -242,11 +268,15 @@ def nearest(vectors: DataFrame, k: int, id_col: str = "vec_id", group_cols: tupl
             there = (near.ravel() >= 0) & (ids[np.maximum(near.ravel(), 0)] != who)
             out.append(pd.DataFrame({"id": who[there], "neighbour": ids[near.ravel()[there]], "similarity": exact.ravel()[there]}))
         got = pd.concat(out).sort_values(["id", "similarity", "neighbour"], ascending=[True, False, True])
-        return got.groupby("id").head(k)
-
-    found = index.unionByName(questions).groupBy("grp", "cell", "shard", "chunk").applyInPandas(answer, "id bigint, neighbour bigint, similarity double")
-    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+        return got.groupby("id").head(k).assign(grp=pdf["grp"].iloc[0])
+
+    found = index.unionByName(questions).groupBy("grp", "cell", "shard", "chunk").applyInPandas(answer, "grp string, id bigint, neighbour bigint, similarity double")
+    rank = F.row_number().over(W.partitionBy("grp", "id").orderBy(F.desc("similarity"), "neighbour"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    if several.isEmpty():
+        return found.drop("grp")
+    members = written(usable.join(several, ["grp", "raw"]).select("grp", "rep", "id"), "copies")
+    return _expanded(written(found, "found"), members, k)
 
 
 def close_pairs(found: DataFrame, least: float) -> DataFrame:
