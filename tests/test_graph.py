@@ -147,3 +147,20 @@ def test_empty_graph(spark):
     g = graph(spark, [], [])
     for df in (metrics.ck_metrics(g), metrics.package_metrics(g), metrics.issues(g), metrics.summary(g), annotations.coverage(g), annotations.framework_usage(g), annotations.untestable(g), projects.stats(g), traverse.inheritance_lines(g), traverse.missing_ends(g), lookup.all_nodes(g)):
         assert df.count() == 0
+
+
+def test_long_lines_are_followed_to_their_end(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "ONE_TASK_LINKS", 1)  # lines on and below cycles by joins as well
+    n = 203
+    line = [("extends", f"c{i:03d}", f"c{i + 1:03d}") for i in range(n)]
+    # p: its end has two parents. q: its end lies on a cycle. r: nothing odd.
+    odd = [*line, ("extends", f"c{n}", "y"), ("extends", f"c{n}", "x")]
+    ring = [*line, ("extends", f"c{n}", "z"), ("extends", "z", f"c{n}")]
+    edges = [(*e, f"{p}{i}", p) for p, es in (("p", odd), ("q", ring), ("r", line)) for i, e in enumerate(es)]
+    g = graph(spark, [{"id": x, "p": p} for p in "pqr" for x in ("c000", "c150", f"c{n}", "z")], edges)
+    got = {(r.project_id, r.id): (r.hops, r.path[-1], len(r.path)) for r in traverse.longest_lines(g).collect()}
+    assert got == {
+        ("p", "c000"): (n + 1, "x", n + 2), ("p", "c150"): (n - 149, "x", n - 148), ("p", f"c{n}"): (1, "x", 2),
+        ("q", "c000"): (n + 2, f"c{n}", n + 3), ("q", "c150"): (n - 148, f"c{n}", n - 147), ("q", f"c{n}"): (2, f"c{n}", 3), ("q", "z"): (2, "z", 3),
+        ("r", "c000"): (n, f"c{n}", n + 1), ("r", "c150"): (n - 150, f"c{n}", n - 149),
+    }

@@ -16,56 +16,64 @@ from weftgraph.graph import Graph, ends, symmetric
 from weftgraph.operators import hierarchy
 from weftgraph.session import written
 
-#: Longest trail that is followed; inheritance lines are far shorter.
-MOST_HOPS = 200
 #: Up to so many links on or below cycles are walked in one task; more are followed by joins.
 ONE_TASK_LINKS = 100_000
 
 
-def trails(links: DataFrame, starts: DataFrame, most_hops: int = MOST_HOPS) -> DataFrame:
+def trails(links: DataFrame, starts: DataFrame) -> DataFrame:
     """All trails (no link twice) from ``starts`` (``project_id, id``) along ``links`` (``project_id, source, target``).
 
-    ``project_id, start, id, hops, path``: ``path`` holds the ids from the start on. Trails end on cycles by themselves.
-    Repeated links count once.
+    ``project_id, start, id, hops, path``: ``path`` holds the ids from the start on. Trails end by themselves, on cycles
+    too, and are followed until the last has ended: a round per link of the longest. Repeated links count once.
     """
     step = written(links.select("project_id", F.col("source").alias("id"), F.col("target").alias("next")).distinct(), "steps")
     at = starts.select("project_id", F.col("id").alias("start"), "id", F.lit(0).alias("hops"), F.array("id").alias("path"), F.array().cast("array<string>").alias("used"))
-    found = []
-    for _ in range(most_hops):
+    found: list[str] = []
+    while True:
         link = F.concat_ws("\x1f", "id", "next")
         at = at.join(step, ["project_id", "id"]).where(~F.array_contains("used", link)).select("project_id", "start", F.col("next").alias("id"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("next")).alias("path"), F.concat("used", F.array(link)).alias("used"))
         at = written(at, "trails")
         if at.isEmpty():
             break
-        found.append(at.drop("used"))
-    if not found:
-        return at.drop("used")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        found.append(at._weftgraph_path)
+    # One scan of all rounds: a union of hundreds would be too deep a plan.
+    return (links.sparkSession.read.schema(at.schema).parquet(*found) if found else at).drop("used")
 
 
 def longest_lines(g: Graph) -> DataFrame:
     """``project_id, id, hops, path`` of the longest trail of extends links of every class that extends something.
 
-    Where each node extends at most one, lines are the paths of :mod:`weftgraph.operators.hierarchy`, which needs no round
-    per level, and only classes on or below cycles are followed step by step; otherwise all are.
+    Where lines meet no node that extends several, they are the paths of :mod:`weftgraph.operators.hierarchy`, which needs
+    no round per level, or, on and below cycles, walks in one task. Only lines that lead to a node that extends several,
+    and those on and below cycles if they are many, are followed step by step. All are whole, whatever their length.
     """
-    e = g.links("extends").where("source is not null and target is not null").select("project_id", "source", "target")
+    e = g.links("extends").where("source is not null and target is not null").select("project_id", "source", "target").distinct()
+    e = written(e, "extends")
     classes = g.typed("class").select("project_id", "id")
-    if not e.groupBy("project_id", "source").agg(F.count_distinct("target").alias("k")).where("k > 1").isEmpty():
-        return _longest(trails(e, classes))
+    forks = written(e.groupBy("project_id", F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("project_id", "id"), "forks")
+    forked = not forks.isEmpty()
+    # Nodes that extend several count as roots at first, so a line's root tells whether it leads to one.
+    plain = e.join(forks.withColumnRenamed("id", "source"), ["project_id", "source"], "left_anti") if forked else e
     project = F.split("grp", "\x1e")[0]
-    solved = written(hierarchy.resolve(e, ["project_id"], "source", "target").where("state <> 'tree' or depth > 0").select(project.alias("project_id"), F.col("node").alias("id"), "depth", "path", "state"), "lines")
-    tree = solved.where("state = 'tree'").join(classes, ["project_id", "id"]).select("project_id", "id", F.col("depth").alias("hops"), F.reverse(F.split("path", hierarchy.SEP)).alias("path"))
-    odd = solved.where("state <> 'tree'").select("project_id", "id")
-    steps = e.distinct().withColumnRenamed("source", "id").join(odd, ["project_id", "id"]).select("project_id", "id", "target")
-    steps = written(steps, "cyclic")
-    if steps.count() > ONE_TASK_LINKS:
-        return tree.unionByName(_longest(trails(e, odd.join(classes, ["project_id", "id"]))))
-    walked = steps.coalesce(1).mapInPandas(_walk, "project_id string, id string, hops bigint, path array<string>")
-    return tree.unionByName(walked.join(classes, ["project_id", "id"]).select("project_id", "id", "hops", "path"))
+    solved = hierarchy.resolve(plain, ["project_id"], "source", "target").where("state <> 'tree' or depth > 0").select(project.alias("project_id"), F.col("node").alias("id"), "root", "depth", "path", "state")
+    solved = written(solved, "lines")
+    tree, odd = solved.where("state = 'tree'"), solved.where("state <> 'tree'").select("project_id", "id")
+    follow = forks
+    if forked:
+        tops = forks.withColumnRenamed("id", "root")
+        follow = follow.unionByName(tree.join(tops, ["project_id", "root"], "left_semi").select("project_id", "id"))
+        tree = tree.join(tops, ["project_id", "root"], "left_anti")
+    out = tree.join(classes, ["project_id", "id"]).select("project_id", "id", F.col("depth").alias("hops"), F.reverse(F.split("path", hierarchy.SEP)).alias("path"))
+    steps = written(plain.withColumnRenamed("source", "id").join(odd, ["project_id", "id"]).select("project_id", "id", "target"), "cyclic")
+    many = steps.count() > ONE_TASK_LINKS
+    if many:
+        follow = follow.unionByName(odd)
+    else:
+        walked = steps.coalesce(1).mapInPandas(_walk, "project_id string, id string, hops bigint, path array<string>")
+        out = out.unionByName(walked.join(classes, ["project_id", "id"]).select("project_id", "id", "hops", "path"))
+    if forked or many:
+        out = out.unionByName(_longest(trails(e, follow.join(classes, ["project_id", "id"]))))
+    return out
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
