@@ -1,6 +1,7 @@
 import pytest
 
 from weftgraph.llm import docpairs as P
+from weftgraph.llm import plans
 
 JAVA = """/** Keeps an eye on boats and their cargo. */
 public class A extends B {
@@ -110,3 +111,13 @@ def test_inheritance_and_rows(spark):
     assert got[1, "open"][0] is False and (1, "plain") not in got and not any(f in (4, 5, 6, 7) for f, _ in got)
     assert {(r.file_id, r.name) for r in P.pairs(df, inherit=False).collect()} == {(1, "open"), (1, "move"), (2, "inherit")}
     assert P.pairs(df.limit(0)).count() == 0
+
+
+def test_found_runs_the_joins_over_the_hierarchy(spark, monkeypatch, tmp_path):
+    java = ["/** Keeps boats. */ class A extends B {\n int open(int g) { return 1; }\n /** Counts every boat that passes before noon. */\n int count() { return 2; }\n}", "class B {\n /** Opens the harbour gate once the tide has turned twice. */\n int open(int g) { return 0; }\n}"]
+    files = [(i, "p", f"{'AB'[i]}.java", "java", t, None) for i, t in enumerate(java)]
+    spark.createDataFrame(files, "file_id long, project_id string, source_file string, language string, text string, scanned_at timestamp").write.parquet(str(tmp_path / "source_files.parquet"))
+    names, write = [], P.written
+    monkeypatch.setattr(P, "written", lambda df, name="part": names.append(name) or write(df, name))
+    got = {(r.file_id, r.name, r.line) for r in plans.p6_found(spark, str(tmp_path)).collect()}
+    assert got == {(0, "count", 4), (1, "open", 3)} and "step" in names

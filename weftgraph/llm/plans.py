@@ -64,7 +64,7 @@ def p5_validation(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Functions with a body whose own documentation isn't trivial, in files that parse."""
     files = table(spark, d, "source_files").select("file_id", "project_id", "source_file", "text")
-    return docpairs.pairs(files, code=False, inherit=False).select("file_id", "name", "line")
+    return docpairs.pairs(files, code=False).where("not inherited").select("file_id", "name", "line")
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
