@@ -87,6 +87,19 @@ def test_typescript():
     assert {("ui.a.A", "extends", "./base.Base"), ("ui.a.A", "implements", "ui.a.I"), ("ui.a.I", "extends", "ui.a.J"), ("ui.a.A.open", "calls", "./base.io.send"), ("ui.a.A.open", "calls", "ui.a.A.close"), ("ui.a.A.size", "references", "ui.a.Gauge")} <= e
 
 
+@pytest.mark.parametrize("head", ["export class A", "export default class A", "class A", "export abstract class A"])
+@pytest.mark.parametrize("path", ["src/ui/a.ts", "src/ui/a.js"])
+def test_class_behind_a_long_decorator(path, head):
+    if "abstract" in head and path.endswith("js"):
+        pytest.skip("TypeScript only")
+    long = "@NgModule({ imports: [" + ", ".join(f"M{i}" for i in range(90)) + "],\n  make: () => { go(1); } })\n"
+    for text in (long + head, head.replace("class", long + "class", 1) if "default" in head else long + head):
+        n, _ = sheet(path, f"go();\n/** Keeps boats. */\n{text} {{ }}\n")
+        a = n["ui.a.A"]
+        assert (a["start_line"], a["end_line"], a["description"], [x["name"] for x in a["annotations"]]) == (3, 5, "Keeps boats.", ["@NgModule"])
+        assert "abstract" not in head or "abstract" in a["modifiers"]
+
+
 @pytest.mark.parametrize("path, text", [("a.java", "class {"), ("a.py", "def f("), ("a.ts", "class A {"), ("a.rb", "x")])
 def test_errors(path, text):
     s = E.extract("p", path, text)

@@ -170,11 +170,12 @@ class Script(_Base):
                 self.i += 1
                 return
             if t == "@":
+                first = self.start
                 self.decorators()
                 self.eat("export")
                 self.eat("default")
                 self.eat("abstract")
-                return self.class_()
+                return self.class_(first=first)
         elif k == "id":
             f = self.HEADS.get(t)
             if f is not None:
@@ -414,7 +415,7 @@ class Script(_Base):
             if t == "class" or t == "@" or self.ts and t == "abstract" and self.t[self.i + 1] == "class":
                 self.decorators()
                 self.eat("abstract")
-                return self.class_(False)
+                return self.class_(False, first)
             if self.ts and t == "interface" and self.k[self.i + 1] == "id":
                 return self.statement()
             self.start = first
@@ -591,8 +592,13 @@ class Script(_Base):
             if self.t[self.i] == "(":
                 self.args()
 
-    def class_(self, named: bool = True) -> None:
-        first = self.start if self.start <= self.i and self.i - self.start < 64 else self.i
+    def expression_start(self) -> int:
+        """Where a class begins that is part of an expression: with its statement, unless that began far back."""
+        return self.start if self.start <= self.i and self.i - self.start < 64 else self.i
+
+    def class_(self, named: bool = True, first: int | None = None) -> None:
+        """``first``: the token it begins with, known where decorators or modifiers were read before."""
+        first = self.expression_start() if first is None else first
         self.need("class")
         own, name = "?", -1
         if named or self.is_name() and self.t[self.i] not in ("implements",):
@@ -939,8 +945,9 @@ class Script(_Base):
             self.object_()
             return True
         if t == "@":
+            first = self.expression_start()
             self.decorators()
-            self.class_(False)
+            self.class_(False, first)
             return False
         self.bad()
         return False
