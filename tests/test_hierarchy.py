@@ -78,3 +78,28 @@ def test_descendants(spark):
     solved = H.resolve(df, ["g"])
     assert {(r.ancestor, r.descendant, r.distance) for r in H.descendants(solved).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("a", "d", 1)}
     assert {r.node: r.n_descendants for r in H.descendant_counts(solved).collect()} == {"a": 3, "b": 1, "c": 0, "d": 0}
+
+
+@pytest.mark.parametrize("fragment_rows", [100, 4])
+def test_all_links_of_several_parents_count(spark, fragment_rows):
+    # x: a diamond with a longer side, and a second link further up. c1, c2: a cycle that only further links close, with nodes below.
+    links = [("b", "a"), ("d", "b"), ("d", "c"), ("c", "a"), ("e", "d"), ("e", "z"), ("z", "y"), ("a", "0"), ("a", "k"), ("c1", "0"), ("c1", "c2"), ("c2", "c1"), ("low", "c1"), ("lower", "low"), ("lower", "m")]
+    df = spark.createDataFrame([("g", c, p, 1, "") for c, p in links], SCHEMA)
+    solved = H.resolve(df, ["g"], fragment_rows=fragment_rows)
+    states = {r.node: (r.state, r.path) for r in solved.collect()}
+    assert {n for n, (s, _) in states.items() if s == "cycle"} == {"c1", "c2"} and {n for n, (s, _) in states.items() if s == "below_cycle"} == {"low", "lower"}
+    assert states["e"] == ("tree", H.SEP.join("0abde")) and len(states) == len({n for link in links for n in link})
+    up = {}
+    for c, p in links:
+        if states[c][0] == states[p][0] == "tree":
+            up.setdefault(c, set()).add(p)
+    want = set()
+    for n in up:
+        at, seen, far = {n}, {n}, 0
+        while at := {p for x in at for p in up.get(x, ())} - seen:
+            far, seen = far + 1, seen | at
+            want |= {(x, n, far) for x in at}
+    more = H.more_links(df, ["g"])
+    assert {(r.ancestor, r.descendant, r.distance) for r in H.descendants(solved, more).collect()} == want
+    counts = {r.node: r.n_descendants for r in H.descendant_counts(solved, more).collect()}
+    assert counts["k"] == 5 and counts["c"] == 2 and counts["y"] == 2 and counts["low"] == 0

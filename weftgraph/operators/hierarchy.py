@@ -230,16 +230,21 @@ def resolve(links: DataFrame, group_cols: list[str], child: str = "child", paren
 
     Links with a null end are left out, repeated links count once, other columns are ignored, an empty table
     gives no rows. A node with several different parents takes the smallest for its path and is on a cycle if any
-    directed cycle of the group holds it.
+    directed cycle of the group holds it; nodes whose path would lead to such a cycle are below it.
+    :func:`more_links` has the links that no path follows.
     """
     all_links = written(distinct_links(links, group_cols, child, parent), "links")
     one = all_links.groupBy("grp", "child").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("k"))
     several = not one.where("k > 1").isEmpty()
     seg = F.col("child") if paths else F.lit(None).cast("string")
+    if several:
+        cyc = written(_cycles_any(all_links), "on_cycles")
+        one = one.join(cyc, ["grp", "child"], "left_anti")  # so that paths end in nodes on cycles
     single = one if several else all_links
     solved = _solve(written(single.select("grp", "child", "parent", F.lit(1).cast("bigint").alias("hops"), seg.alias("seg")), "single") if several or paths else all_links.select("grp", "child", "parent", F.lit(1).cast("bigint").alias("hops"), seg.alias("seg")), paths, fragment_rows)
     if several:
-        solved = _mark(written(solved, "solved"), _cycles_any(all_links))
+        on = cyc.select("grp", "child", F.lit(None).cast("string").alias("top"), F.lit(0).cast("bigint").alias("hops"), F.lit(None).cast("string").alias("seg"), F.lit(ON_CYCLE).cast("int").alias("state"))
+        solved = _adopt(solved, on)
     state = F.when(F.col("state") == ON_CYCLE, "cycle").when(F.col("state") == TO_CYCLE, "below_cycle").otherwise("tree")
     path = F.when(F.col("state") == 0, F.concat_ws(SEP, "top", "seg")) if paths else F.lit(None).cast("string")
     tree = F.col("state") == 0
@@ -254,16 +259,47 @@ def cycle_nodes(links: DataFrame, group_cols: list[str], child: str = "child", p
     return resolve(links, group_cols, child, parent, False, fragment_rows).where("state = 'cycle'").select("grp", "node")
 
 
-def descendants(resolved: DataFrame) -> DataFrame:
+def more_links(links: DataFrame, group_cols: list[str], child: str = "child", parent: str = "parent") -> DataFrame:
+    """``grp, child, parent`` of the links that no path of :func:`resolve` follows: of several parents, all but the smallest."""
+    up = distinct_links(links, group_cols, child, parent)
+    several = up.groupBy("grp", "child").agg(F.min("parent").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return up.join(several, ["grp", "child"]).where("parent <> least").select("grp", "child", "parent")
+
+
+def descendants(resolved: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """``grp, ancestor, descendant, distance`` of every ancestor-descendant pair, from the paths.
 
-    As many rows as the sum of all depths. Nodes on or below cycles have no pairs.
+    As many rows as the sum of all depths. Nodes on or below cycles have no pairs. With ``more`` (:func:`more_links`),
+    pairs over all links between the other nodes, each once with its shortest distance: paths are continued over further
+    links, a round for each such link on a way.
     """
     steps = resolved.where("depth > 0").select("grp", F.col("node").alias("descendant"), "depth", F.posexplode(F.split("path", SEP)).alias("at", "ancestor"))
-    return steps.where("at < depth").select("grp", "ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+    pairs = steps.where("at < depth").select("grp", "ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+    if more is None:
+        return pairs
+    trees = resolved.where("state = 'tree'").select("grp", "node")
+    more = more.join(trees.withColumnRenamed("node", "child"), ["grp", "child"]).join(trees.withColumnRenamed("node", "parent"), ["grp", "parent"])
+    more = written(more.select("grp", "child", "parent"), "more")
+    if more.isEmpty():
+        return pairs
+    me = trees.select("grp", F.col("node").alias("ancestor"), F.col("node").alias("descendant"), F.lit(0).cast("bigint").alias("distance"))
+    lines = written(me.unionByName(pairs), "lines")
+    # Where each further link leads: its parent and the parent's path.
+    leads = more.join(lines.withColumnRenamed("descendant", "parent"), ["grp", "parent"]).groupBy("grp", F.col("child").alias("via"), "ancestor").agg((F.min("distance") + 1).alias("far"))
+    leads = written(leads, "leads")
+    best = new = lines
+    while True:
+        step = new.select("grp", "descendant", F.col("ancestor").alias("via"), "distance").join(leads, ["grp", "via"])
+        step = step.groupBy("grp", "ancestor", "descendant").agg(F.min(F.col("distance") + F.col("far")).alias("distance"))
+        old = best.select("grp", "ancestor", "descendant", F.col("distance").alias("had"))
+        new = written(step.join(old, ["grp", "ancestor", "descendant"], "left").where("had is null or distance < had").select("grp", "ancestor", "descendant", "distance"), "further")
+        if new.isEmpty():
+            break
+        best = written(best.unionByName(new).groupBy("grp", "ancestor", "descendant").agg(F.min("distance").alias("distance")), "pairs")
+    return best.where("distance > 0")
 
 
-def descendant_counts(resolved: DataFrame) -> DataFrame:
-    """``grp, node, n_descendants`` (0 for leaves); counted map-side, so no pair is shuffled."""
-    n = descendants(resolved).groupBy("grp", F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+def descendant_counts(resolved: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """``grp, node, n_descendants`` (0 for leaves); counted map-side, so no pair is shuffled unless there are ``more`` links."""
+    n = descendants(resolved, more).groupBy("grp", F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n"))
     return resolved.select("grp", "node").join(n, ["grp", "node"], "left").select("grp", "node", F.coalesce("n", F.lit(0)).alias("n_descendants"))

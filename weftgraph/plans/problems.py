@@ -36,14 +36,15 @@ def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     """Path, depth, root, state and number of descendants of every node of both hierarchies."""
     links = hierarchy_links(table(spark, d, "code_edges"))
     solved = hierarchy.written(hierarchy.resolve(links, ["project_id", "hierarchy"]), "resolved")
-    n = hierarchy.descendant_counts(solved)
+    n = hierarchy.descendant_counts(solved, hierarchy.more_links(links, ["project_id", "hierarchy"]))
     return _ungroup(solved.join(n, ["grp", "node"])).select("project_id", "hierarchy", F.col("node").alias("node_id"), "root", "depth", F.translate("path", hierarchy.SEP, ">").alias("path"), "state", "n_descendants")
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Every ancestor-descendant pair with its distance."""
     links = hierarchy_links(table(spark, d, "code_edges"))
-    return _ungroup(hierarchy.descendants(hierarchy.resolve(links, ["project_id", "hierarchy"]))).select("project_id", "hierarchy", "ancestor", "descendant", "distance")
+    solved = hierarchy.written(hierarchy.resolve(links, ["project_id", "hierarchy"]), "resolved")
+    return _ungroup(hierarchy.descendants(solved, hierarchy.more_links(links, ["project_id", "hierarchy"]))).select("project_id", "hierarchy", "ancestor", "descendant", "distance")
 
 
 def _keys(spark: SparkSession, d: str) -> DataFrame:
