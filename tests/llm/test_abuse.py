@@ -40,6 +40,20 @@ def test_documents(spark, corpus):
     assert A.score(docs.limit(0).drop("score"), labels).count() == 0
 
 
+def test_names_keep_their_words():
+    words = lambda t: {w[0] for s in A.sentences(t) for w in A.terms(s)}
+    assert "idiot" in words("idiot/moron as ever") and "idiot" in words("what a stupid_idiot") and "idiot" in words("you are an iDiOt") and "idiot" in words("idiot: read the docs") and "idiot" in words("YouIdiot")
+
+
+def test_held_out_by_group(spark, corpus):
+    rows, rated = corpus
+    docs = spark.createDataFrame([(i, t, f"p{i % 7}") for i, t, _ in rows], "doc_id long, text string, project_id string")
+    labels = spark.createDataFrame(rated, "doc_id long, rater string, abusive int")
+    got = A.held_out(docs, labels, "project_id")
+    assert got["documents"] == 300 and got["precision"] > 0.7 and got["recall"] > 0.7
+    assert A.held_out(docs, labels.limit(0), "project_id")["recall"] == 0
+
+
 def test_without_ratings_the_seeds_decide(spark, corpus):
     docs = spark.createDataFrame([(1, BAD[0]), (2, CALM[0])] + [(i, r[1]) for i, r in enumerate(corpus[0][1:9], 10)], "doc_id long, text string")
     got = {r.doc_id: r.score for r in A.score(docs, spark.createDataFrame([], "doc_id long, rater string, abusive int")).collect()}

@@ -37,9 +37,9 @@ POSITIVE = 3.0
 BACKGROUND_DOCS = 2_000
 #: Terms of a sentence; longer ones are cut into overlapping pieces, so that nothing is left out.
 MOST_TERMS = 48
-#: From this score a document counts as abusive. Abuse is rare among what the machine is fitted on, so the dividing line
-#: lies far below one half.
-THRESHOLD = 0.02
+#: From this score a document counts as abusive: chosen by ratings of held-out projects (``held_out``), where precision and
+#: recall balance. Abuse is rare among what the machine is fitted on, so the dividing line lies below one half.
+THRESHOLD = 0.05
 
 #: Look-alike letters and digits in words (fixed values).
 LOOK_ALIKE = str.maketrans("аеорсухіјѕԁһӏкмнтвгзпαβεικνορτυχ", "aeopcyxijsdhlkmhtbrznabeiknoptux")
@@ -48,7 +48,7 @@ _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿͏]")
 _SPELLED = re.compile(r"(?<![\w.\-*_])(?:[^\W\d_](?:[ .\-*_~]|\. )){2,}[^\W\d_](?![\w])", re.U)
 _TOKEN = re.compile(r"@\w+|\d+[^\W\d_]\w*|\w+(?:/\w[\w.\-]*)+|[^\W\d_]+(?:['’*@$!|0134579#+.\-_]+[^\W\d_]+|[0134579@$]+(?=\b))*|\d[\d.:,]*|[\"“”„«»'`]", re.U)
 _SENTENCE = re.compile(r"(?<=[.!?…])[\s\"”»)`']+|[\r\n]+", re.U)
-_CHAT = re.compile(r"^\s*(?:\[\d+:\d+\]\s*)?[\w.\-]{2,30}:(?:\s+|$)")
+_CLOCK = re.compile(r"^\s*\[\d+:\d+\]\s*")
 _CALL = re.compile(r"\b\w+\(\)|\b[a-z]+(?:[A-Z]\w*)+\b|\b(?:[A-Z][a-z]+){2,}\b|\b\w+(?:_\w+)+\b")
 _PATH = re.compile(r"\b\w[\w.\-]*(?:/\w[\w.\-]*)+|\b\w+\.(?:java|py|ts|js|md|json|txt|html)\b")
 
@@ -70,7 +70,7 @@ def sentences(text: str) -> list[str]:
     """Sentences and lines of an undisguised text."""
     out = []
     for s in _SENTENCE.split(undisguised(text)):
-        s = _CHAT.sub("", s)
+        s = _CLOCK.sub("", s)
         if len(s) > 1 and any(c.isalpha() for c in s):
             out.append(s)
     return out
@@ -114,11 +114,20 @@ def _hashed(t: str) -> tuple[int, ...]:
     return tuple(_hash(x) for x in _word(t))
 
 
+@lru_cache(maxsize=100_000)
+def _parts(name: str, sign: str) -> str:
+    """A path's or an identifier's sign, the words in it, and the whole if capitals may only disguise it (iDiOt)."""
+    words = re.findall(r"[^\W\d_]{3,}", re.sub(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", name.replace("_", " ")))
+    whole = [name.lower()] if name.isalpha() and len(words) < 2 else []
+    return " ".join(["", sign, *(w.lower() for w in words), *whole, ""])
+
+
 def _tokens(sentence: str) -> list[str]:
     """Tokens that have terms; quotation marks in a row count once."""
     out: list[str] = []
     quoted = False
-    for t in _TOKEN.findall(_CALL.sub(" xcodex ", _PATH.sub(" xpathx ", sentence))):
+    text = _PATH.sub(lambda m: _parts(m.group(), "xpathx"), sentence)
+    for t in _TOKEN.findall(_CALL.sub(lambda m: _parts(m.group(), "xcodex"), text)):
         if _word(t) == ("<quote>",):
             if not quoted:
                 out.append(t)
@@ -197,44 +206,57 @@ class Machine:
         self.b -= rate * gb / math.sqrt(self._gb)
 
 
-# --- seed sentences (fixed values) ------------------------------------------------------------------------------
-
-_INSULT = "idiot moron imbecile cretin dimwit bastard asshole pig parasite fool loser clown rat animal scum bitch whore retard dumbass coward".split()
-_MEAN = "stupid worthless useless pathetic brainless disgusting filthy dumb ugly miserable".split()
-_GROUP = "women foreigners immigrants refugees muslims jews gays blacks gypsies pensioners cripples christians".split()
-_PEOPLE = ["@user", "you", "this guy", "she", "he"]
+# --- seed sentences: general words and frames, none of them taken from a corpus (fixed values) ---------------------
+
+_EN = {
+    "i": "idiot moron imbecile cretin dimwit bastard asshole pig loser clown scum bitch whore cunt retard dumbass fool halfwit dickhead wanker prick".split(),
+    "m": "stupid worthless useless pathetic brainless disgusting dumb filthy".split(),
+    "g": "women foreigners immigrants refugees muslims jews gays blacks christians disabled".split(),
+}
+_DE = {
+    "i": "idiot trottel arschloch depp schwachkopf vollpfosten hurensohn wichser versager dummkopf drecksau mistkerl".split(),
+    "m": "dumm blöd wertlos erbärmlich widerlich hirnlos".split(),
+    "g": "frauen ausländer flüchtlinge muslime juden schwule behinderte".split(),
+}
+_ES = {
+    "i": "idiota imbécil gilipollas cabrón estúpido payaso inútil cretino capullo tonto puta zorra".split(),
+    "m": "tonto inútil patético asqueroso estúpido".split(),
+    "g": "mujeres extranjeros inmigrantes refugiados musulmanes judíos gays".split(),
+}
+_FR = {
+    "i": "idiot crétin connard abruti imbécile débile salaud ordure pute salope con bouffon".split(),
+    "m": "stupide nul minable dégoûtant bête".split(),
+    "g": "femmes étrangers immigrés réfugiés musulmans juifs homosexuels".split(),
+}
 _HOSTILE = [
-    "you are a {m} {i}", "you {m} {i}", "only a {i} like you would merge this", "@user is a {i} and everybody knows it", "@user you are such a {i}", "whoever wrote build() is a {m} {i} and should be fired",
-    "he is a {m} {i}", "she is a {m} {i}", "what a {m} {i} you are", "shut up you {m} {i}", "shut up, @user", "fuck you", "fuck off, @user", "go to hell, @user", "go fuck yourself you {i}", "you people are nothing but {m} {i}s",
-    "{g} are all {i}s", "never trust {g}, they are all thieves and {i}s", "{g} should go back to where they came from", "those {g} belong in a cage", "{g} are too {m} to write code", "{g} have no place in this team, throw them out", "i hate {g}, they ruin everything", "i refuse to work with {g}, those {i}s",
-    "i will kill you", "i will come to your house and hurt you", "i know where you live, @user", "keep doing that and you will bleed", "one more word and i break your legs, @user", "you will regret this, i will find you", "i hope you die", "kill yourself, @user", "somebody should beat you up", "you deserve to be shot", "hang yourself", "watch your back, @user",
-    "you make me want to vomit, @user", "your mother must be ashamed of you", "nobody would miss you if you were gone", "you worthless piece of shit, learn to read", "even rats have more brains than you", "nobody likes you and your ugly face", "i hope somebody stabs you tonight", "i hope you get hit by a car", "nobody here can stand you, you make everybody sick", "leave and never come back, you are a disgrace", "touch my code again and i will beat you until you cannot walk", "{g} do not deserve to live among decent people", "we do not want {g} here, they are vermin", "people of that religion should be wiped out", "listen, {i}, nobody asked for your opinion", "the likes of you should not be allowed to live",
-    "want to fuck tonight", "nice tits on your picture", "suck my cock", "she gives great blowjobs", "send me nudes, @user", "i want to lick your pussy", "the video is hardcore porn with people having sex on camera", "she is naked and horny in this clip", "spank my bare ass while i am horny", "i want to see you naked", "look at her boobs and ass, i would fuck her", "jerk off to her photos", "dick pics in the attachment, he is hard", "send me naked pictures of yourself and i approve it",
-    "du bist ein kompletter idiot, @user", "du bist ein dummer trottel", "du arschloch", "was für ein arschloch, so jemand gehört verprügelt", "halt die fresse, @user, du hast keine ahnung", "halt die klappe du schwachkopf", "verpiss dich, @user", "fick dich", "ich bringe dich um", "ich weiß wo du wohnst und komme vorbei", "ausländer sind alle diebe und parasiten", "frauen sind zu dumm zum programmieren", "alle flüchtlinge gehören abgeschoben, dieses pack", "du hurensohn", "geile titten, willst du ficken", "nur ein vollidiot wie du macht so etwas", "dich sollte man erschlagen",
-    "eres un imbécil, @user, y todos lo saben", "eres un idiota inútil", "vete a la mierda, @user", "cállate, gilipollas", "hijo de puta", "te voy a matar", "sé dónde vives y te voy a partir la cara", "los inmigrantes son todos ladrones y parásitos", "las mujeres no sirven para programar", "solo un imbécil como tú haría esto", "menuda zorra", "quiero follarte esta noche", "qué tetas tienes", "eres basura, das asco", "cállate, idiota, no entiendes nada", "los extranjeros deberían volver a su país",
-    "tu es un crétin, @user", "va te faire foutre, @user", "ferme ta gueule, crétin, tu ne comprends rien", "espèce de connard", "sale con", "pauvre abruti, tu ne sers à rien", "je vais te tuer", "je sais où tu habites et je vais te casser la gueule", "les étrangers sont tous des voleurs et des parasites", "les femmes sont trop bêtes pour coder", "ces immigrés n'ont qu'à rentrer chez eux", "fils de pute", "je veux te baiser ce soir", "quels nichons, salope", "seul un imbécile comme toi ferait ça", "tu me dégoûtes, espèce de porc",
+    (_EN, ["{i}", "you {i}", "you {m} {i}", "@user {i}", "@user you {i}", "you are {m}", "you are a {i}", "he is a {i}", "she is a {m} {i}", "they are {i}s", "such a {i} this guy", "{i}s like you", "{g} are {i}s", "{g} are {m}", "i hate {g}", "get rid of {g}", "{g} are animals", "damn {g}"]),
+    (_EN, ["fuck you", "screw you", "piss off", "shut your mouth", "drop dead", "i will kill you", "i will hurt you", "i will find you and beat you", "i am going to punch you in the face", "you will die", "you should die", "i hope you die", "go kill yourself", "we will shoot you", "you are a piece of shit", "everybody hates you", "your face is ugly", "you are trash", "you are garbage and so is your family", "somebody ought to break your legs", "i will burn your house down", "he ought to be hanged", "kick her out and beat her"]),
+    (_EN, ["i want to have sex with you", "fuck me hard", "suck my dick", "show me your tits", "big boobs and a wet pussy", "i am so horny", "she took off her clothes and they had sex", "watch naked girls", "hot porn videos", "he came in her mouth", "lick my ass", "blowjob and anal sex", "send a nude photo of your body", "erotic pictures with naked women"]),
+    (_DE, ["{i}", "du {i}", "du bist ein {i}", "du bist {m}", "er ist ein {i}", "ihr seid {i}", "@user du {i}", "{g} sind {m}", "{g} raus", "ich hasse {g}", "so ein {i} wie du", "fick dich", "halt die fresse", "halt dein maul", "ich bringe dich um", "ich schlage dich", "du sollst sterben", "stirb", "dein gesicht ist hässlich", "alle hassen dich", "ich will sex mit dir", "lutsch meinen schwanz", "zeig mir deine titten", "nackte frauen ficken", "ich bin geil auf dich"]),
+    (_ES, ["{i}", "eres un {i}", "eres {m}", "él es un {i}", "sois unos {i}", "@user eres un {i}", "las {g} son {m}", "los {g} son basura", "odio a los {g}", "fuera los {g}", "un {i} como tú", "vete a la mierda", "cierra la boca", "te voy a matar", "te voy a pegar", "ojalá te mueras", "muérete", "todos te odian", "quiero sexo contigo", "chúpame la polla", "enséñame las tetas", "mujeres desnudas follando", "estoy cachondo"]),
+    (_FR, ["{i}", "tu es un {i}", "tu es {m}", "il est un {i}", "vous êtes des {i}", "@user tu es un {i}", "les {g} sont {m}", "les {g} sont des ordures", "je déteste les {g}", "dehors les {g}", "un {i} comme toi", "va te faire foutre", "ferme ta gueule", "je vais te tuer", "je vais te frapper", "j'espère que tu vas mourir", "crève", "tout le monde te déteste", "je veux coucher avec toi", "suce ma bite", "montre tes seins", "femmes nues qui baisent", "je suis excité par ton corps"]),
 ]
 _HARMLESS = [
-    "this {m} bug in build() cost me the whole afternoon", "what a {m} editor, it cannot render a table", "build() is a {m} hack, slow and hard to read", "honestly this patch is not good enough, it is ugly and untested", "the {m} workaround in src/a.ts can go", "the garbage collector is a {i}, it eats memory", "retry is a {i} strategy here",
-    "i was the {i} here, sorry", "i am an {i}, i forgot the index", "ignore my last comment, i was {m}", "my own {m} mistake, fixed", "i feel like a {i} for missing that", "you are not {m}, the docs are misleading", "sorry, i the {i} forgot to push",
-    "the word {i} has to be caught by the filter", "\"{i}\" and \"{i}\" in comments, see the list in src/a.ts", "please flag messages such as \"{i}\" for the moderators, test data in src/a.ts", "the test checks that \"shut up\" and \"go to hell\" are blocked", "the filter must detect the word {i}, see src/a.ts", "the blocklist contains {i}, {i} and {i}", "the moderation test expects \"fuck you\" to be masked", "add \"{m} {i}\" to the list of blocked phrases", "the {i} test for the parser runs nightly",
-    "the parent must kill the child before it forks again, otherwise we leak zombies", "killed the worker and its orphans with sigkill", "the master hangs when a slave aborts", "a dead worker blocks the queue, kill it", "hit the service until it bleeds errors, then shoot it down", "the attack on the socket was a drill, no threat to anybody", "a penetration test of the endpoint is due next week", "the process dies when i execute the dump", "we strip the payload naked before hashing", "the column sex is nullable, so the import fails", "women and men are encoded as 1 and 2, immigrants as a flag", "the adult content classifier scored the porn sample at 0.9, as expected", "the hot path is exposed and makes dirty reads", "the bastion host in essex cannot reach the cockpit", "the logo shows a clown fish and a rat", "brutal but fair review, i will rewrite it from scratch", "abort the child process and bury the result", "the explicit images in the test set are blurred by the nudity detector",
-    "der elternprozess tötet das kind, sonst bleiben zombies", "ich idiot habe das vergessen, entschuldigung", "der idiotentest läuft jetzt nachts", "der filter muss das wort idiot erkennen", "was für ein dummer fehler in build(), jetzt behoben", "die spalte geschlecht darf leer sein", "el proceso padre mata al hijo antes de salir", "qué error tan tonto, ya está corregido", "el filtro debe detectar la palabra idiota", "fui un idiota, se me olvidó el índice", "le processus père tue le fils avant de sortir", "quel bug idiot, c'est corrigé", "le filtre doit repérer le mot crétin", "j'ai été bête, j'ai oublié le test",
-    "thanks for the quick fix", "looks good to me", "could somebody with access check src/a.ts", "the parser reports an unexpected token at line 3", "please add a test for this case", "danke für die prüfung", "gracias por la revisión", "merci pour la relecture", "nobody remembers why build() swallows the exception", "the depth of the tree is 3, which surprises nobody", "we agreed that every node owns exactly one edge and never shares it", "the old service is outdated", "i would rather inject it than look it up", "the scan now finds 30 classes", "bitte erst nach dem release umbenennen", "por favor no cambies esto antes del cierre", "merci de ne pas renommer cela avant le gel", "after waiting for both replicas", "why does it implement both contracts", "steps to reproduce: open the project, call build() twice",
+    (_EN, ["i am a {i}", "i was a {m} {i}", "sorry for my {m} question", "my {m} mistake", "this is {m} code", "a {m} design", "the {m} parser", "that function is {m}", "the word {i}", "the term \"{i}\"", "a filter for words such as {i}", "the list of banned words has {i} and {i}", "the detector labels \"you {i}\" as toxic", "a test with the input \"{m} {i}\"", "replace {i} by asterisks"]),
+    (_EN, ["kill the process", "the child process was killed", "the parent waits until its children die", "the thread is dead", "abort the job", "the slave follows the master", "a fatal error", "this attack is blocked by the firewall", "the column gender has two values", "count users by sex and age", "the exploit was fixed", "execute the command", "strip the binary", "a race condition", "the naked pointer leaks", "dump the heap", "the model detects porn and hate", "the tests cover nudity detection", "the code is a mess", "this api is horrible", "the build is broken again", "the docs are bad"]),
+    (_EN, ["you are right", "you are welcome", "thank you", "he is on vacation", "she wrote the module", "they agree", "we should talk", "please review", "i will look at it", "i will find the cause", "everybody likes it", "women in engineering meet today", "immigrants fill in this form", "the new version works", "open the file and read it", "the server returns an error", "see the manual", "it takes two arguments", "nobody uses this flag", "your change breaks the build"]),
+    (_DE, ["ich bin ein {i}", "ich war {m}", "ein {m}er fehler", "das wort {i}", "ein filter für {i}", "der code ist {m}", "den prozess töten", "der kindprozess stirbt", "du hast recht", "danke", "bitte prüfen", "er ist im urlaub", "sie hat das modul geschrieben", "die tabelle hat zwei spalten", "frauen und männer zählen"]),
+    (_ES, ["soy un {i}", "fui {m}", "un error {m}", "la palabra {i}", "un filtro para {i}", "el código es {m}", "matar el proceso", "el proceso hijo muere", "tienes razón", "muchas gracias", "revisa el cambio", "él está de vacaciones", "ella escribió el módulo", "la tabla tiene dos columnas", "contar mujeres y hombres"]),
+    (_FR, ["je suis un {i}", "j'étais {m}", "une erreur {m}", "le mot {i}", "un filtre pour {i}", "le code est {m}", "tuer le processus", "le processus enfant meurt", "tu as raison", "merci beaucoup", "vérifie le changement", "il est en vacances", "elle a écrit le module", "la table a deux colonnes", "compter les femmes et les hommes"]),
 ]
 
 
 def seed_examples(each: int = 14) -> tuple[list[str], list[int]]:
-    """Seed sentences with their places filled, at most ``each`` ways per pattern."""
+    """Seed sentences with their places filled, at most ``each`` ways per frame."""
     rnd, out, y = random.Random(1), [], []
-    for patterns, label in ((_HOSTILE, 1), (_HARMLESS, 0)):
-        for p in patterns:
-            slots = [{"i": _INSULT, "m": _MEAN, "g": _GROUP}[k] for k in re.findall(r"\{(\w)\}", p)]
-            ways = list(itertools.islice(itertools.product(*slots), 5000)) if slots else [()]
-            for w in rnd.sample(ways, min(each, len(ways))):
-                it = iter(w)
-                out.append(re.sub(r"\{\w\}", lambda m, it=it: next(it), p))
-                y.append(label)
+    for groups, label in ((_HOSTILE, 1), (_HARMLESS, 0)):
+        for words, frames in groups:
+            for frame in frames:
+                ways = list(itertools.islice(itertools.product(*(words[k] for k in re.findall(r"\{(\w)\}", frame))), 5000))
+                for way in rnd.sample(ways, min(each, len(ways))):
+                    fill = iter(way)
+                    out.append(re.sub(r"\{\w\}", lambda _, fill=fill: next(fill), frame))
+                    y.append(label)
     return out, y
 
 
@@ -284,29 +306,53 @@ def score_texts(m: Machine, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -700, 700))) * (out > -np.inf)
 
 
-def train(docs: DataFrame, ratings: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Machine:
-    """Fit on about ``sample_docs`` rated and ``BACKGROUND_DOCS`` unrated documents at most (by a hash of their id).
-
-    A document's label is that of most of its ratings; ties and null ratings don't count.
-    """
+def _sample(docs: DataFrame, ratings: DataFrame, sample_docs: int, group: str | None = None) -> tuple[list[list[np.ndarray]], list[int], list[str]]:
+    """Features of the sentences, label and ``group`` of the sampled documents (by a hash of their id), in order of id."""
     votes = ratings.groupBy("doc_id").agg(F.avg("abusive").alias("a")).where("a is not null").select("doc_id", F.when(F.col("a") > 0.5, 1).when(F.col("a") < 0.5, 0).otherwise(-1).alias("label"))
     n, all_docs = votes.count(), docs.count()
     share = lambda most, of: int(min(1.0, most / max(1, of)) * (1 << 30))
     lot = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30))
-    rated = docs.select("doc_id", "text").where(lot < share(sample_docs, n)).join(votes, "doc_id")
-    rest = docs.select("doc_id", "text").where(lot >= (1 << 30) - share(BACKGROUND_DOCS, all_docs)).join(votes.select("doc_id"), "doc_id", "left_anti")
+    docs = docs.select("doc_id", "text", (F.lit("") if group is None else F.coalesce(F.col(group).cast("string"), F.lit(""))).alias("grp"))
+    rated = docs.where(lot < share(sample_docs, n)).join(votes, "doc_id")
+    rest = docs.where(lot >= (1 << 30) - share(BACKGROUND_DOCS, all_docs)).join(votes.select("doc_id"), "doc_id", "left_anti")
     picked = rated.unionByName(rest.withColumn("label", F.lit(-1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [[f.tobytes() for s in sentences(t) for f in indices(s)] if t else [] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.binary())), b.column(2)], ["doc_id", "f", "label"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.binary())), b.column(2), b.column(3)], ["doc_id", "f", "label", "grp"])
 
-    got = picked.select("doc_id", "text", "label").mapInArrow(run, "doc_id bigint, f array<binary>, label int").toPandas().sort_values("doc_id").drop_duplicates("doc_id")
+    got = picked.select("doc_id", "text", "label", "grp").mapInArrow(run, "doc_id bigint, f array<binary>, label int, grp string").toPandas().sort_values("doc_id").drop_duplicates("doc_id")
     rows = [[np.frombuffer(x, np.int32) for x in f] for f in got["f"]]
     total = np.cumsum([len(r) for r in rows]) if len(rows) else np.zeros(0)
     keep = [i for i in range(len(rows)) if rows[i] and total[i] <= SAMPLE_SENTENCES]
-    return fit([rows[i] for i in keep], [int(got["label"].iloc[i]) for i in keep])
+    return [rows[i] for i in keep], [int(got["label"].iloc[i]) for i in keep], [got["grp"].iloc[i] for i in keep]
+
+
+def train(docs: DataFrame, ratings: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Machine:
+    """Fit on about ``sample_docs`` rated and ``BACKGROUND_DOCS`` unrated documents at most.
+
+    A document's label is that of most of its ratings; ties and null ratings don't count.
+    """
+    rows, label, _ = _sample(docs, ratings, sample_docs)
+    return fit(rows, label)
+
+
+def held_out(docs: DataFrame, ratings: DataFrame, group: str, sample_docs: int = SAMPLE_DOCS, folds: int = 3, threshold: float = THRESHOLD) -> dict[str, float]:
+    """``documents, positive, precision, recall`` against the ratings, each document scored without its group's part of the groups.
+
+    The ratings are partly wrong, so neither figure reaches 1. Without ratings both are 0.
+    """
+    rows, label, of = _sample(docs, ratings, sample_docs, group)
+    fold = np.array([xxhash.xxh32_intdigest(g) % folds for g in of])
+    hit, true = np.zeros(len(rows), bool), np.asarray(label)
+    for k in range(folds):
+        out, rest = np.flatnonzero((fold == k) & (true >= 0)), np.flatnonzero(fold != k)
+        if len(out):
+            m = fit([rows[i] for i in rest], [label[i] for i in rest])
+            hit[out] = [m.scores(rows[i]).max() >= math.log(threshold / (1 - threshold)) for i in out]
+    both = float((hit & (true == 1)).sum())
+    return {"documents": float((true >= 0).sum()), "positive": float((true == 1).sum()), "precision": both / max(1, int(hit.sum())), "recall": both / max(1, int((true == 1).sum()))}
 
 
 def score(docs: DataFrame, ratings: DataFrame, keep: tuple[str, ...] = (), sample_docs: int = SAMPLE_DOCS) -> DataFrame:

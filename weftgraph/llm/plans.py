@@ -136,7 +136,13 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_abuse(spark, d, ("source",)), "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_errors, p3_rates, p5_found, p5_scores, p5_validation, p6_found, p6_pairs, p7_found, p7_neighbours, p8_found, p8_containers, p9_found, p9_mixture, p9_report, p10_found, p10_scores, p10_rates)}
+def p10_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall against the ratings of projects held out of the fit."""
+    figures = abuse.held_out(table(spark, d, "documents").select("doc_id", "text", "project_id"), table(spark, d, "abuse_labels").select("doc_id", "abusive"), "project_id")
+    return spark.createDataFrame(sorted(figures.items()), "figure string, value double")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_errors, p3_rates, p5_found, p5_scores, p5_validation, p6_found, p6_pairs, p7_found, p7_neighbours, p8_found, p8_containers, p9_found, p9_mixture, p9_report, p10_found, p10_scores, p10_rates, p10_validation)}
 
 _NODES = "first_rows AS (SELECT project_id, id, modifiers, annotations FROM code_nodes QUALIFY row_number() OVER (PARTITION BY project_id, id ORDER BY scanned_at NULLS FIRST) = 1)"
 _TERMS = rf"""{_NODES}, raw AS (SELECT 'annotation' AS field, project_id, id, unnest(annotations).name AS v FROM first_rows UNION ALL SELECT 'modifier', project_id, id, unnest(modifiers) FROM first_rows),
