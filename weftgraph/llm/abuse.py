@@ -293,16 +293,24 @@ def fit(docs: list[list[np.ndarray]], label: list[int], seed: int = 5, epochs: i
 
 def score_texts(m: Machine, texts: list[str | None]) -> np.ndarray:
     """The probability of each text's worst sentence; 0 for null texts and texts without letters."""
-    rows: list[np.ndarray] = []
+    known: dict[str, int] = {}  # every distinct sentence is scored once
     owner: list[int] = []
+    which: list[int] = []
     for i, t in enumerate(texts):
-        for s in sentences(t) if t else ():
-            f = indices(s)
-            rows += f
-            owner += [i] * len(f)
+        found = sentences(t) if t else ()
+        which += [known.setdefault(s, len(known)) for s in found]
+        owner += [i] * len(found)
+    rows: list[np.ndarray] = []
+    of: list[int] = []
+    for j, s in enumerate(known):
+        f = indices(s)
+        rows += f
+        of += [j] * len(f)
     out = np.full(len(texts), -np.inf)
     if rows:
-        np.maximum.at(out, np.asarray(owner), m.scores(rows).astype(float))
+        worst = np.full(len(known), -np.inf)
+        np.maximum.at(worst, np.asarray(of), m.scores(rows).astype(float))
+        np.maximum.at(out, np.asarray(owner), worst[np.asarray(which)])
     return 1 / (1 + np.exp(-np.clip(out, -700, 700))) * (out > -np.inf)
 
 
