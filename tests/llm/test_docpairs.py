@@ -121,3 +121,35 @@ def test_found_runs_the_joins_over_the_hierarchy(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(P, "written", lambda df, name="part": names.append(name) or write(df, name))
     got = {(r.file_id, r.name, r.line) for r in plans.p6_found(spark, str(tmp_path)).collect()}
     assert got == {(0, "count", 4), (1, "open", 3)} and "step" in names
+
+
+DOC = "/** Counts every boat that passes the {} before noon. */"
+
+
+def test_bases_by_package_and_import_and_overloads(spark):
+    files = {
+        "x/Base.java": "package x; public class Base { " + DOC.format("weir") + " int run(int a) { return a; }\n " + DOC.format("quay") + " int run(java.util.Map<String, Integer> a, int b) { return b; } }",
+        "y/Base.java": "package y; public class Base { " + DOC.format("lock") + " int run(int a) { return a; } }",
+        "z/A.java": "package z; import y.Base; class A extends Base { int run(int b) { return 1; }\n int run(int b, int c) { return 2; } }",
+        "x/B.java": "package x; class B extends Base { int run(int b) { return 1; }\n int run(int b, int c) { return 2; } }",
+        "z/C.java": "package z; class C extends Base { int run(int b) { return 1; } }",
+        "t/b.ts": "export class Base { " + DOC.format("pier") + " run(): void { } }",
+        "t/sub/c.ts": "import { Base as Far } from '../b';\nclass C extends Far { run(): void { } }",
+        "t/d.ts": "import { Base } from 'elsewhere';\nclass D extends Base { run(): void { } }",
+        "src/m/b.py": 'class Base:\n    def run(self):\n        """Counts every boat that passes the dam before noon."""\n',
+        "src/m/c.py": "from .b import Base\nclass C(Base):\n    def run(self):\n        return 1\n",
+        "src/n/d.py": "import m.b as far\nclass D(far.Base):\n    def run(self):\n        return 1\n",
+    }
+    df = spark.createDataFrame([(i, "p", path, text) for i, (path, text) in enumerate(files.items())], "file_id long, project_id string, source_file string, text string")
+    path = list(files)
+    got = sorted((path[r.file_id], r.code.count(","), r.doc.split()[6]) for r in P.pairs(df).where("inherited").collect())
+    assert got == [("src/m/c.py", 0, "dam"), ("src/n/d.py", 0, "dam"), ("t/sub/c.ts", 0, "pier"), ("x/B.java", 0, "weir"), ("x/B.java", 1, "quay"), ("z/A.java", 0, "lock")]
+
+
+def test_a_method_meets_an_ancestor_once(spark):
+    n = 14  # 2^14 ways to the top
+    faces = ["interface L0 { " + DOC.format("moat") + " int run(); }"] + [f"interface {s}{i} extends L{i - 1}, R{i - 1} {{}}" for i in range(1, n) for s in "LR"]
+    text = " ".join([*faces, "interface R0 extends L0 {}", f"class Z implements L{n - 1}, R{n - 1} {{ int run() {{ return 1; }} }}"])
+    df = spark.createDataFrame([(1, "p", "Z.java", text)], "file_id long, project_id string, source_file string, text string")
+    rows = P.pairs(df).where("inherited").collect()
+    assert len(rows) == 1 and "moat" in rows[0].doc

@@ -41,6 +41,15 @@ def test_documents(spark):
         by.setdefault(r.container, []).append(r)
     assert all(sum(r.tokens for r in v) == v[0].used <= 100 for v in by.values())
     assert P.pack_documents(df.limit(0), 100).count() == 0
+    fill = P.fill_report(P.pack_documents(df, 100), 100).first()
+    assert fill.tokens == sum(tokens.values()) and fill.containers == len(by) >= fill.least and abs(fill.fill - fill.tokens / (100 * fill.containers)) < 1e-12
+    assert P.fill_report(P.pack_documents(df.limit(0), 100), 100).first().containers == 0
+
+
+def test_rows_without_ids_are_spread(spark):
+    df = spark.createDataFrame([(None if i % 3 else 7, "word " * (1 + i % 9)) for i in range(900)], "doc_id long, text string")
+    rows = P.pack_documents(df, 64, group_docs=100).collect()
+    assert len(rows) == 900 and len({r.container.split("-")[0] for r in rows}) == 9
 
 
 def test_groups_only_add_a_container_each(spark):

@@ -49,6 +49,11 @@ def test_flushing_keeps_records_whole(monkeypatch):
     assert got == want
 
 
+def test_the_first_row_counts_even_without_terms(spark):
+    df = spark.createDataFrame([("p", "1", 0, [None, " "]), ("p", "1", 1, ["a"]), ("p", "2", 0, ["a"]), ("p", "3", 0, None), ("p", "3", 1, ["b"])], "project_id string, id string, at int, mods array<string>")
+    assert [(r.term, r.records, r.share) for r in T.term_counts(df, ["project_id", "id"], ["at"], {"m": F.col("mods")}).collect()] == [("a", 1, 1.0)]
+
+
 def test_marks_and_empty(spark):
     rows = [("p", str(i), 0, ["always", f"v{i % 5}"] + (["once"] if i == 3 else [])) for i in range(20)]
     df = spark.createDataFrame(rows, "project_id string, id string, at int, mods array<string>")

@@ -43,7 +43,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 42, budget: int | None
     Mixture: ``doc_id, source, repeat`` (from 0), ``tokens, finish`` (virtual finish time) and ``cum_tokens`` in order
     of service; the last document is the first to reach the budget. Ties are broken by source, repeat and document.
     Report, for every target: ``target_share, max_repeats, source_tokens, available_tokens`` (all repeats),
-    ``target_tokens, actual_tokens, actual_share, repeats_used, short`` (not enough tokens for its share).
+    ``target_tokens, actual_tokens, actual_share, repeats_used, short`` (all its repeats were served and lie below its share).
 
     Documents of sources without a target count for the default budget only; null or empty texts have no tokens and
     aren't mixed. Empty tables give an empty mixture and a report of zeros.
@@ -98,7 +98,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 42, budget: int | None
         .withColumn("available_tokens", F.col("source_tokens") * F.col("max_repeats"))
         .withColumn("target_tokens", F.col("target_share") * F.lit(float(budget)))
         .withColumn("actual_share", F.coalesce(F.try_divide(F.col("actual_tokens").cast("double"), all_used), F.lit(0.0)))
-        .withColumn("short", F.col("available_tokens") < F.col("target_tokens"))
+        .withColumn("short", (F.col("actual_tokens") >= F.col("available_tokens")) & (F.col("actual_tokens") < F.col("target_tokens")))
     )
     return mixture, report
 

@@ -93,7 +93,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folde
 
 
 def pack_sizes(sizes: DataFrame, capacity: int, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """Pack rows ``doc_id, tokens``; see :func:`pack_documents`."""
+    """Pack rows ``doc_id, tokens``; see :func:`pack_documents`. With a number in ``row``, rows that repeat an id are spread as well."""
     groups = max(1, math.ceil(sizes.count() / group_docs))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -110,7 +110,16 @@ def pack_sizes(sizes: DataFrame, capacity: int, group_docs: int = GROUP_DOCS) ->
             used[members] = size[members].sum()
         return pd.DataFrame({"doc_id": docs[row], "piece": piece, "n_pieces": pieces[row], "first_token": first, "tokens": size, "container": [f"{key[0]}-{b}" for b in bin_of], "used": used})
 
-    return sizes.where("tokens > 0").groupBy(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(groups)).cast("bigint").alias("g")).applyInPandas(run, PACKED)
+    lot = F.xxhash64("doc_id", *(["row"] if "row" in sizes.columns else []), F.lit(17))
+    return sizes.where("tokens > 0").groupBy(F.pmod(lot, F.lit(groups)).cast("bigint").alias("g")).applyInPandas(run, PACKED)
+
+
+def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
+    """One row: ``containers, tokens, capacity, fill`` (used part of all containers) and ``least`` (containers that any packing needs)."""
+    tokens = F.coalesce(F.sum("tokens"), F.lit(0))
+    bins = packed.groupBy("container").agg(F.sum("tokens").alias("tokens")).agg(F.count(F.lit(1)).alias("containers"), tokens.alias("tokens"))
+    cap = F.lit(capacity).cast("bigint")
+    return bins.select("containers", "tokens", cap.alias("capacity"), F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.col("containers") * cap), F.lit(1.0)).alias("fill"), F.ceil(F.col("tokens") / cap).alias("least"))
 
 
 def pack_documents(docs: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZER_DIR, tokenizer: str = TOKENIZER, group_docs: int = GROUP_DOCS) -> DataFrame:
@@ -123,4 +132,4 @@ def pack_documents(docs: DataFrame, capacity: int, id_col: str = "doc_id", text_
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    return pack_sizes(written(sized(docs, id_col, text_col, folder, tokenizer), "sizes"), capacity, group_docs)
+    return pack_sizes(written(sized(docs, id_col, text_col, folder, tokenizer).withColumn("row", F.monotonically_increasing_id()), "sizes"), capacity, group_docs)

@@ -90,7 +90,7 @@ def _capacity(spark: SparkSession, d: str) -> int:
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that had to be split because they alone exceed the capacity."""
     packed = packing.pack_documents(table(spark, d, "documents").select("doc_id", "text"), _capacity(spark, d))
-    return packed.where("n_pieces > 1").select("doc_id").distinct()
+    return packed.where("piece > 0").select("doc_id").distinct()
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -98,6 +98,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents").select("doc_id", "text"), _capacity(spark, d))
 
 
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(p8_containers(spark, d), _capacity(spark, d))
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(table(spark, d, "documents").select("doc_id", "source", "text"), table(spark, d, "mix_targets"))
 
@@ -142,7 +147,7 @@ def p10_validation(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sorted(figures.items()), "figure string, value double")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_errors, p3_rates, p5_found, p5_scores, p5_validation, p6_found, p6_pairs, p7_found, p7_neighbours, p8_found, p8_containers, p9_found, p9_mixture, p9_report, p10_found, p10_scores, p10_rates, p10_validation)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p3_found, p3_errors, p3_rates, p5_found, p5_scores, p5_validation, p6_found, p6_pairs, p7_found, p7_neighbours, p8_found, p8_containers, p8_fill, p9_found, p9_mixture, p9_report, p10_found, p10_scores, p10_rates, p10_validation)}
 
 _NODES = "first_rows AS (SELECT project_id, id, modifiers, annotations FROM code_nodes QUALIFY row_number() OVER (PARTITION BY project_id, id ORDER BY scanned_at NULLS FIRST) = 1)"
 _TERMS = rf"""{_NODES}, raw AS (SELECT 'annotation' AS field, project_id, id, unnest(annotations).name AS v FROM first_rows UNION ALL SELECT 'modifier', project_id, id, unnest(modifiers) FROM first_rows),

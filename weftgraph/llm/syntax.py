@@ -22,8 +22,8 @@ from weftgraph.extract.lexers import Bad, c_tokens, conflict, py_tokens
 
 #: Languages by extension (fixed values).
 EXTENSIONS = {"java": "java", "py": "python", "pyi": "python", "ts": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "mjs": "javascript", "cjs": "javascript"}
-#: Deeply nested files need deep recursion.
-DEPTH = 12_000
+#: Deeply nested files need deep recursion; the acceptors' frames lie on the heap, not on the C stack.
+DEPTH = 1_000_000
 
 
 def language_of(path: str | None) -> str | None:
@@ -41,6 +41,8 @@ def _python(text: str) -> None:
         line = getattr(e, "lineno", None) or 1
         kind = "indentation" if isinstance(e, IndentationError) else "unexpected token"
         raise Bad(kind, sum(len(x) for x in text.splitlines(True)[: line - 1])) from None
+    except (MemoryError, RecursionError):  # more than Python's own parser takes
+        raise Bad("nesting", 0) from None
 
 
 def check(text: str | None, language: str | None) -> tuple[str, int] | None:

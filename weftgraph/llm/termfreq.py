@@ -113,7 +113,7 @@ def term_counts(records: DataFrame, key_cols: list[str], order_cols: list[str],
     ``fields`` maps a field's name to an expression of type array of string. Terms are normalised by
     :func:`normal`; null and blank ones don't count. Rows with equal keys are repeats of one record: the first in
     ``order_cols`` counts, the rest are ignored (a null key is a key like any other). ``share`` is the part of the
-    records that have at least one term of the field. Records without any term, and empty tables, give no rows.
+    records that have at least one term of the field. Records whose first row has no term, and empty tables, give no rows.
     """
     parts = []
     for name, arr in fields.items():
@@ -121,7 +121,7 @@ def term_counts(records: DataFrame, key_cols: list[str], order_cols: list[str],
         marked = F.when(F.size(clean) > 0, _headed(F.lit(name + "\x00"), clean))
         parts.append(F.coalesce(marked, F.array().cast("array<string>")))
     key = F.to_json(F.array(*[F.col(c).cast("string") for c in key_cols]))
-    rows = records.select(key.alias("__k"), F.concat(*parts).alias("__t"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order_cols)]).where(F.size("__t") > 0)
+    rows = records.select(key.alias("__k"), F.concat(*parts).alias("__t"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order_cols)])
     tidy = rows.repartition("__k").sortWithinPartitions("__k", *[f"__o{i}" for i in range(len(order_cols))]).select("__k", "__t")
     counters = tidy.mapInArrow(_count, _OUT)
     # "field" may hold NUL-free names only; the term after it is kept whole.
