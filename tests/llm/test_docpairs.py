@@ -149,7 +149,7 @@ def test_bases_by_package_and_import_and_overloads(spark):
 def test_a_method_meets_an_ancestor_once(spark):
     n = 14  # 2^14 ways to the top
     faces = ["interface L0 { " + DOC.format("moat") + " int run(); }"] + [f"interface {s}{i} extends L{i - 1}, R{i - 1} {{}}" for i in range(1, n) for s in "LR"]
-    text = " ".join([*faces, "interface R0 extends L0 {}", f"class Z implements L{n - 1}, R{n - 1} {{ int run() {{ return 1; }} }}"])
+    text = "\n".join([*faces, "interface R0 extends L0 {}", f"class Z implements L{n - 1}, R{n - 1} {{ int run() {{ return 1; }} }}"])
     df = spark.createDataFrame([(1, "p", "Z.java", text)], "file_id long, project_id string, source_file string, text string")
     rows = P.pairs(df).where("inherited").collect()
     assert len(rows) == 1 and "moat" in rows[0].doc
