@@ -3,7 +3,7 @@
 0. Equal vectors of one group are indexed and asked once, by the smallest id; the others get its answer, with the ids of
    all equal ones, after the merge. Copies would otherwise fill each other's links and the beam.
 1. Vectors of one group (project and length) form cells of about ``SHARD_ROWS`` vectors around centroids, which are
-   fitted on a bounded sample. A cell that is larger still is split at random into shards of bounded size.
+   fitted on a bounded sample by rounds that no task or driver sees whole. A cell that is larger still is split at random into shards of bounded size.
 2. Each vector is indexed in its own cell, and asks the ``PROBES`` cells with the nearest centroids. A shard asked by
    very many vectors gets its questions in chunks of bounded size, each with a copy of the shard.
 3. In each shard a hierarchical navigable small-world graph is built as flat neighbour arrays (one array of
@@ -37,84 +37,128 @@ PROBES = 4
 #: Links of a vector on the upper layers (twice as many on the lowest), and width of the beam.
 M = 12
 BEAM = 40
-#: Vectors a group's centroids are fitted on, for each of them, and centroids of all groups together (64 dimensions: 16 MB).
+#: Vectors inserted at once.
+BATCH = 512
+#: Vectors a group's centroids are fitted on, for each of them, rounds of the fit, and bytes of all groups' centroids together.
 SAMPLE_PER_CELL = 24
-MOST_CELLS = 65_536
+ROUNDS = 6
+CENTROID_BYTES = 1 << 24
 
 
 class Graph:
     """A hierarchical navigable small-world graph over unit vectors, as flat neighbour arrays.
 
-    A vector's highest layer is drawn from its number, with a factor of ``1 / M`` from layer to layer. The links of a
-    vector are chosen among its nearest in the layer by the usual heuristic: a candidate is kept if it's nearer to
-    the vector than to any link kept before; links go both ways, and free places take the nearest left over.
+    A vector's highest layer is drawn from its number, with a factor of ``1 / M`` from layer to layer. Vectors are inserted
+    in batches: each batch searches the graph so far, layer by layer, for its candidates (and has the others of its batch),
+    links them by the usual heuristic (a candidate is kept if it's nearer to the vector than to any link kept before; free
+    places take the nearest left over), and is linked back, by the same heuristic where a list is full.
     """
 
-    def __init__(self, x: np.ndarray, m: int = M, seed: int = 7) -> None:
+    def __init__(self, x: np.ndarray, m: int = M, seed: int = 7, beam: int = BEAM, batch: int = BATCH) -> None:
         self.x, n = x, len(x)
-        level = np.floor(-np.log(np.random.default_rng(seed).random(n)) / math.log(max(m, 2))).astype(int)
-        self.layers: list[tuple[np.ndarray, np.ndarray]] = []  # members, links as positions in x (-1: none)
-        for lv in range(int(level.max(initial=0)) + 1):
-            members = np.flatnonzero(level >= lv)
-            self.layers.append((members, self._link(members, 2 * m if lv == 0 else m)))
-
-    def _link(self, members: np.ndarray, most: int) -> np.ndarray:
-        x, n = self.x[members], len(members)
-        links = np.full((n, most), -1, np.int32)
-        width = min(n - 1, 2 * most)
-        if width < 1:
-            return links
-        forward: list[np.ndarray] = []
-        for a in range(0, n, 512):
-            sim = x[a : a + 512] @ x.T
-            sim[np.arange(len(sim)), np.arange(a, a + len(sim))] = -np.inf
-            near = np.argpartition(-sim, width - 1, axis=1)[:, :width] if width < n else np.tile(np.arange(n), (len(sim), 1))
-            s = np.take_along_axis(sim, near, 1)
-            order = np.argsort(-s, axis=1, kind="stable")
-            near, s = np.take_along_axis(near, order, 1), np.take_along_axis(s, order, 1)
-            between = np.einsum("qad,qbd->qab", x[near], x[near], optimize=True)
-            keep = np.zeros(near.shape, bool)
-            for j in range(width):
-                blocked = ((between[:, j, :j] > s[:, j, None]) & keep[:, :j]).any(1) if j else np.zeros(len(near), bool)
-                keep[:, j] = ~blocked & (keep.sum(1) < most)
-            rank = np.argsort(~keep, axis=1, kind="stable")[:, : most // 2]  # kept first, then the nearest left over
-            forward.append(np.take_along_axis(near, rank, 1))
-        out = np.concatenate(forward)
-        k = out.shape[1]
-        links[:, :k] = out
-        # Back links, nearest first, into the free places.
-        src, dst = np.repeat(np.arange(n), k), out.ravel()
-        order = np.lexsort((-np.einsum("nd,nd->n", x[src], x[dst]), dst))
+        self.level = np.floor(-np.log(np.random.default_rng(seed).random(n)) / math.log(max(m, 2))).astype(int)
+        self.most = [2 * m if lv == 0 else m for lv in range(int(self.level.max(initial=0)) + 1)]
+        #: Per layer, the neighbours of each vector as positions in ``x`` (-1: none).
+        self.links = [np.full((n, w), -1, np.int32) for w in self.most]
+        self.top, done = 0, 0
+        while done < n:
+            new = np.arange(done, min(n, done + batch))
+            self._insert(new, done, m, beam)
+            self.top = int(self.level[: new[-1] + 1].argmax())
+            done = int(new[-1]) + 1
+
+    def _insert(self, new: np.ndarray, done: int, m: int, beam: int) -> None:
+        at = np.full(len(new), self.top)
+        for lv in range(len(self.links) - 1, -1, -1):
+            here = self.level[new] >= lv
+            there = done and self.level[self.top] >= lv
+            if there and not here.all():
+                at[~here] = self._descend(self.x[new[~here]], at[~here], lv)
+            if not here.any():
+                continue
+            mine = new[here]
+            sim = self.x[mine] @ self.x[mine].T
+            np.fill_diagonal(sim, -np.inf)
+            near = np.where(sim > -np.inf, mine[None, :], -1)
+            if there:
+                ids, sims = self._beam(self.x[mine], at[here], lv, beam)
+                at[here] = ids[np.arange(len(mine)), sims.argmax(1)]
+                near, sim = np.concatenate([near, ids], 1), np.concatenate([sim, sims], 1)
+            self._link(mine, near, sim, lv, m)
+
+    def _link(self, mine: np.ndarray, near: np.ndarray, sim: np.ndarray, lv: int, m: int) -> None:
+        links, most = self.links[lv], self.most[lv]
+        chosen = self._choose(near, sim, m, 2 * most)
+        links[mine, : chosen.shape[1]] = chosen
+        src, dst = np.repeat(mine, chosen.shape[1]), chosen.ravel()
+        src, dst = src[dst >= 0], dst[dst >= 0]
+        known = (links[dst] == src[:, None]).any(1)  # it already chose this one
+        src, dst = src[~known], dst[~known]
+        if not len(dst):
+            return
+        order = np.argsort(dst, kind="stable")
         src, dst = src[order], dst[order]
-        place = k + np.arange(len(dst)) - np.searchsorted(dst, dst, "left")
-        ok = place < most
-        links[dst[ok], place[ok]] = src[ok]
-        return np.where(links >= 0, members[np.maximum(links, 0)], -1).astype(np.int32)
-
-    def search(self, q: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and similarities of about the ``k`` nearest of each row of ``q`` (-1 where there are fewer)."""
-        n, b = len(self.x), len(q)
-        at = np.full(b, self.layers[-1][0][0])
+        who, first, count = np.unique(dst, return_index=True, return_counts=True)
+        more = np.full((len(who), int(count.max())), -1)
+        more[np.repeat(np.arange(len(who)), count), np.arange(len(dst)) - np.repeat(first, count)] = src
+        have = links[who]
+        room = most - (have >= 0).sum(1)
+        fits = count <= room
+        if fits.any():
+            row = np.repeat(np.flatnonzero(fits), count[fits])
+            place = (have >= 0).sum(1)[row] + np.concatenate([np.arange(c) for c in count[fits]])
+            links[who[row], place] = more[row, np.concatenate([np.arange(c) for c in count[fits]])]
+        full = np.flatnonzero(~fits)
+        for a in range(0, len(full), 256):
+            at = full[a : a + 256]
+            cand = np.concatenate([have[at], more[at]], 1)
+            near_sim = np.where(cand >= 0, np.einsum("qd,qcd->qc", self.x[who[at]], self.x[np.maximum(cand, 0)], optimize=True), -np.inf)
+            kept = self._choose(cand, near_sim, most, 2 * most)
+            links[who[at]] = -1
+            links[who[at], : kept.shape[1]] = kept
+
+    def _choose(self, near: np.ndarray, sim: np.ndarray, most: int, width: int) -> np.ndarray:
+        """Of each row's candidates (-1: none), at most ``most``, the nearest ``width`` looked at."""
+        width = min(width, near.shape[1])
+        if width < near.shape[1]:
+            cut = np.argpartition(-sim, width - 1, axis=1)[:, :width]
+            near, sim = np.take_along_axis(near, cut, 1), np.take_along_axis(sim, cut, 1)
+        order = np.argsort(-sim, axis=1, kind="stable")
+        near, sim = np.take_along_axis(near, order, 1), np.take_along_axis(sim, order, 1)
+        real = sim > -np.inf
+        v = self.x[np.maximum(near, 0)]
+        between = v @ v.transpose(0, 2, 1)
+        keep = np.zeros(near.shape, bool)
+        for j in range(width):
+            blocked = ((between[:, j, :j] > sim[:, j, None]) & keep[:, :j]).any(1) if j else np.zeros(len(near), bool)
+            keep[:, j] = ~blocked & real[:, j] & (keep.sum(1) < most)
+        rank = np.argsort(np.where(keep, 0, np.where(real, 1, 2)), axis=1, kind="stable")[:, :most]
+        return np.where(np.take_along_axis(real, rank, 1), np.take_along_axis(near, rank, 1), -1)
+
+    def _descend(self, q: np.ndarray, at: np.ndarray, lv: int) -> np.ndarray:
+        """Greedy steps of one layer, all questions together."""
+        at = at.copy()
         best = np.einsum("qd,qd->q", q, self.x[at])
-        for members, links in reversed(self.layers[1:]):
-            where = np.full(n, -1)
-            where[members] = np.arange(len(members))
-            live = np.arange(b)
-            while len(live):  # greedy descent of one layer, all questions together
-                near = links[where[at[live]]]
-                sim = np.where(near >= 0, np.einsum("qd,qmd->qm", q[live], self.x[np.maximum(near, 0)], optimize=True), -np.inf)
-                j = sim.argmax(1)
-                s = sim[np.arange(len(live)), j]
-                up = s > best[live]
-                live, j, s = live[up], near[up, j[up]], s[up]
-                at[live], best[live] = j, s
-        beam = min(max(beam, k), n)
+        live = np.arange(len(q))
+        while len(live):
+            near = self.links[lv][at[live]]
+            sim = np.where(near >= 0, np.einsum("qd,qmd->qm", q[live], self.x[np.maximum(near, 0)], optimize=True), -np.inf)
+            j = sim.argmax(1)
+            s = sim[np.arange(len(live)), j]
+            up = s > best[live]
+            live, j, s = live[up], near[up, j[up]], s[up]
+            at[live], best[live] = j, s
+        return at
+
+    def _beam(self, q: np.ndarray, at: np.ndarray, lv: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """The beam of each question on one layer, from ``at``: positions (-1: none) and similarities."""
+        n, b, links = len(self.x), len(q), self.links[lv]
         ids, sims = np.full((b, beam), -1), np.full((b, beam), -np.inf)
         open_ = np.zeros((b, beam), bool)
-        ids[:, 0], sims[:, 0], open_[:, 0] = at, best, True
+        ids[:, 0], sims[:, 0], open_[:, 0] = at, np.einsum("qd,qd->q", q, self.x[at]), True
         seen = np.zeros((b, n), bool)
         seen[np.arange(b), at] = True
-        links, live = self.layers[0][1], np.arange(b)
+        live = np.arange(b)
         step = 3  # beam members expanded at once
         while len(live):
             front = np.where(open_[live], sims[live], -np.inf)
@@ -138,6 +182,14 @@ class Graph:
             all_open = np.concatenate([open_[live], sim > -np.inf], 1)
             top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
             ids[live], sims[live], open_[live] = all_ids[rows, top], all_sims[rows, top], all_open[rows, top]
+        return np.where(sims > -np.inf, ids, -1), sims
+
+    def search(self, q: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and similarities of about the ``k`` nearest of each row of ``q`` (-1 where there are fewer)."""
+        at = np.full(len(q), self.top)
+        for lv in range(len(self.links) - 1, 0, -1):
+            at = self._descend(q, at, lv)
+        ids, sims = self._beam(q, at, 0, min(max(beam, k), len(self.x)))
         order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
@@ -169,17 +221,54 @@ def _usable(vectors: DataFrame, id_col: str, group_cols: list[str], vec_col: str
     return packed.groupBy("grp", "id").agg(F.min("raw").alias("raw"))
 
 
-def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Centroids of one group's sample: spherical k-means."""
-    x, k = _matrix(pdf["raw"]).astype(np.float32), int(pdf["cells"].iloc[0])
-    c = x[np.random.default_rng(11).choice(len(x), min(k, len(x)), replace=False)]
-    for _ in range(8):
-        home = np.concatenate([(x[a : a + 2048] @ c.T).argmax(1) for a in range(0, len(x), 2048)])
-        total = np.zeros_like(c)
-        np.add.at(total, home, x)
-        norm = np.sqrt((total * total).sum(1))
-        c[norm > 0] = total[norm > 0] / norm[norm > 0, None]
-    return pd.DataFrame({"grp": pdf["grp"].iloc[0], "cell": np.arange(len(c)), "raw": [r.tobytes() for r in c]})
+def _homes(raw: pd.Series, grp: pd.Series, centroids: dict[str, np.ndarray], probes: int) -> list[list[int]]:
+    """The numbers of the ``probes`` nearest centroids of each vector, nearest first; [0] in groups without centroids."""
+    cells: list[list[int]] = [[0]] * len(raw)
+    for g, at in grp.groupby(grp).indices.items():
+        c = centroids.get(g)
+        if c is not None:
+            p = min(probes, len(c))
+            for part in np.array_split(at, max(1, len(at) * len(c) // 20_000_000)):
+                sim = _matrix(raw.iloc[part]).astype(np.float32) @ c.T
+                near = np.argpartition(-sim, p - 1, axis=1)[:, :p]
+                near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sim, near, 1), axis=1, kind="stable"), 1)
+                for i, row in zip(part, near.tolist()):
+                    cells[i] = row
+    return cells
+
+
+def _centroids(sample: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Centroids of the groups of a written sample (``grp, id, raw, cells``): spherical k-means.
+
+    Each round assigns the sample in its tasks and sums it by cell; the driver sees the sums of the cells only.
+    """
+    rank = F.row_number().over(W.partitionBy("grp").orderBy(F.xxhash64("id", F.lit(11)), "id"))
+    first = sample.withColumn("r", rank).where(F.col("r") <= F.col("cells")).select("grp", "r", "raw").toPandas()  # one row a cell
+    out = {g: _matrix(part.sort_values("r")["raw"]).astype(np.float32) for g, part in first.groupby("grp")}
+    sc = sample.sparkSession.sparkContext
+    for _ in range(rounds if out else 0):
+        shared = sc.broadcast(out)
+
+        def add(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            total: dict[str, np.ndarray] = {}
+            for b in batches:
+                home = np.array([h[0] for h in _homes(b["raw"], b["grp"], shared.value, 1)])
+                for g, at in b.groupby("grp").indices.items():
+                    np.add.at(total.setdefault(g, np.zeros(shared.value[g].shape)), home[at], _matrix(b["raw"].iloc[at]))
+            for g, t in total.items():
+                live = np.flatnonzero(np.abs(t).sum(1) > 0)
+                yield pd.DataFrame({"grp": g, "cell": live, "total": [r.tolist() for r in t[live]]})
+
+        parts = sample.select("grp", "raw").mapInPandas(add, "grp string, cell int, total array<double>")
+        sums = parts.select("grp", "cell", F.posexplode("total").alias("at", "x")).groupBy("grp", "cell", "at").agg(F.sum("x").alias("x"))
+        got = sums.groupBy("grp", "cell").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("total")).toPandas()
+        for g, cell, t in zip(got["grp"], got["cell"], got["total"]):
+            t = np.asarray(t)
+            norm = math.sqrt(float(t @ t))
+            if norm > 0:
+                out[g][cell] = t / norm
+        shared.unpersist()
+    return out
 
 
 def _expanded(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
@@ -215,40 +304,27 @@ def nearest(vectors: DataFrame, k: int, id_col: str = "vec_id", group_cols: tupl
     base = sets.select("grp", "id", "raw")
     several = sets.where("n > 1").select("grp", "raw", F.col("id").alias("rep"))
     sizes = base.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    total = base.count()
-    per_cell = max(shard_rows, math.ceil(total / MOST_CELLS))
+    all_bytes = base.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
+    per_cell = max(shard_rows, math.ceil(all_bytes / CENTROID_BYTES))
     split = sizes.where(F.col("n") > 2 * per_cell).select("grp", "n", F.ceil(F.col("n") / per_cell).cast("int").alias("cells"))
     picked = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.least(F.lit(1.0), F.col("cells") * float(SAMPLE_PER_CELL) / F.col("n")) * float(1 << 30)
-    fitted = base.join(split, "grp").where(picked).groupBy("grp").applyInPandas(_fit, "grp string, cell int, raw binary")
-    centroids: dict[str, np.ndarray] = {}  # at most MOST_CELLS in all
-    for grp, part in fitted.toPandas().sort_values(["grp", "cell"]).groupby("grp"):
-        centroids[grp] = np.frombuffer(b"".join(part["raw"]), np.float32).reshape(len(part), -1)
+    centroids = _centroids(written(base.join(split, "grp").where(picked).select("grp", "id", "raw", "cells"), "sample"))  # at most CENTROID_BYTES in all
     shared = base.sparkSession.sparkContext.broadcast(centroids)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pdf = b.to_pandas()
-            cells = pd.Series([[0]] * len(pdf), dtype=object)
-            for grp, at in pdf.groupby("grp").indices.items():
-                c = shared.value.get(grp)
-                if c is not None:
-                    sim = _matrix(pdf["raw"].iloc[at]).astype(np.float32) @ c.T
-                    p = min(probes, c.shape[0])
-                    near = np.argpartition(-sim, p - 1, axis=1)[:, :p]
-                    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sim, near, 1), axis=1, kind="stable"), 1)
-                    for i, row in zip(at, near.tolist()):
-                        cells.iat[i] = row
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cells.tolist(), pa.list_(pa.int32()))], ["grp", "id", "raw", "cells"])
+            cells = _homes(b.column(2).to_pandas(), b.column(0).to_pandas(), shared.value, probes)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cells, pa.list_(pa.int32()))], ["grp", "id", "raw", "cells"])
 
     asked = written(base.mapInArrow(ask, "grp string, id bigint, raw binary, cells array<int>"), "asked")
     # Shards of a cell and chunks of its questions, both of bounded size.
     homes = asked.groupBy("grp", F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     askers = asked.select("grp", F.explode("cells").alias("cell")).groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("q"))
     plan = homes.join(askers, ["grp", "cell"]).select("grp", "cell", F.ceil(F.col("n") / shard_most).cast("int").alias("shards"), F.ceil(F.col("q") / chunk_rows).cast("int").alias("chunks"))
-    plan = written(plan, "shards")  # a row a cell
-    own = asked.select("grp", "id", "raw", F.col("cells")[0].alias("cell")).join(F.broadcast(plan), ["grp", "cell"])
+    plan = written(plan, "shards")  # a row a cell and small group; no hint, so Spark decides by its size
+    own = asked.select("grp", "id", "raw", F.col("cells")[0].alias("cell")).join(plan, ["grp", "cell"])
     index = own.select("grp", "cell", F.pmod(F.xxhash64("id", F.lit(5)), F.col("shards")).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "raw", F.lit(True).alias("indexed"))
-    ask_rows = asked.select("grp", "id", "raw", F.explode("cells").alias("cell")).join(F.broadcast(plan), ["grp", "cell"])
+    ask_rows = asked.select("grp", "id", "raw", F.explode("cells").alias("cell")).join(plan, ["grp", "cell"])
     questions = ask_rows.select("grp", "cell", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("id", F.lit(9)), F.col("chunks")).cast("int").alias("chunk"), "id", "raw", F.lit(False).alias("indexed"))
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -258,7 +334,7 @@ def nearest(vectors: DataFrame, k: int, id_col: str = "vec_id", group_cols: tupl
             return pd.DataFrame({"grp": [], "id": [], "neighbour": [], "similarity": []})
         own = own.sort_values("id")
         ids, x = own["id"].to_numpy(), _matrix(own["raw"])
-        graph = Graph(x.astype(np.float32), m)
+        graph = Graph(x.astype(np.float32), m, beam=beam)
         q, qid = _matrix(ask["raw"]), ask["id"].to_numpy()
         out = []
         for a in range(0, len(q), 1024):
