@@ -1,5 +1,6 @@
 """Lookups, traversals, metrics and statistics on graphs small enough to count by hand."""
 
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,8 +150,66 @@ def test_empty_graph(spark):
         assert df.count() == 0
 
 
-def test_long_lines_are_followed_to_their_end(spark, monkeypatch):
-    monkeypatch.setattr(traverse, "ONE_TASK_LINKS", 1)  # lines on and below cycles by joins as well
+def _brute_lines(links, classes):
+    """The longest trail of every class, ties by the smallest line of ids."""
+    up = {}
+    for p, a, b in {*links}:
+        up.setdefault((p, a), set()).add(b)
+    out = {}
+    for p, i in classes:
+        best, todo = None, [([i], frozenset())]
+        while todo:
+            path, used = todo.pop()
+            more = [(path + [t], used | {(path[-1], t)}) for t in up.get((p, path[-1]), ()) if (path[-1], t) not in used]
+            todo += more
+            if len(path) > 1:
+                best = min(best or (1,), (1 - len(path), "\x1f".join(path), path))
+        if best:
+            out[p, i] = best[2]
+    return out
+
+
+def _lines_graph(spark, links):
+    ids = sorted({(p, x) for p, a, b in links for x in (a, b)})
+    nodes = spark.createDataFrame([(p, i, "class" if int(i.strip("abcdefghijklmnopqrstuvwxyz") or 0) % 10 != 9 else "interface", i) for p, i in ids], "project_id string, id string, type string, name string")
+    edges = spark.createDataFrame([(str(k), p, "extends", a, b) for k, (p, a, b) in enumerate(links)], "id string, project_id string, type string, source string, target string")
+    return Graph(nodes, edges), [(r.project_id, r.id) for r in nodes.where("type = 'class'").collect()]
+
+
+@pytest.mark.parametrize("seeds", [(0, 3), (1, 2, 4, 5)])  # without and with forks
+def test_longest_lines_equal_brute_force(spark, seeds):
+    links = []
+    for seed in seeds:
+        rnd = random.Random(seed)
+        for p in (f"p{seed}", f"q{seed}"):
+            names = [f"{rnd.choice('ab')}{i:02d}" for i in rnd.sample(range(100), 26)]
+            links += [(p, names[i], names[rnd.randrange(i)]) for i in range(1, 18)]
+            links += [(p, names[i], names[rnd.randrange(i)]) for i in rnd.sample(range(2, 18), 4 if seed % 3 else 0)]  # several parents
+            ring = names[18:22]
+            links += [(p, ring[i], ring[(i + 1) % 4]) for i in range(4)] + [(p, names[22], ring[1]), (p, names[23], names[22]), (p, names[24], names[24])]
+            if seed % 2 and seed != 3:
+                links += [(p, names[23], names[5]), (p, names[25], names[23])]  # a fork above a cycle
+            if seed == 5:
+                links += [(p, ring[2], names[3]), (p, ring[0], ring[2])]  # forks on a cycle
+    links += links[:3]
+    g, classes = _lines_graph(spark, links)
+    got = {(r.project_id, r.id): r.path for r in traverse.longest_lines(g).collect()}
+    assert got == _brute_lines(links, classes)
+
+
+def test_diamonds_and_long_cycles(spark):
+    diamonds = [x for i in range(8) for x in (("d", f"t{i}", f"l{i}"), ("d", f"t{i}", f"r{i}"), ("d", f"l{i}", f"t{i + 1}"), ("d", f"r{i}", f"t{i + 1}"))]
+    line = [("p", f"n{i}", f"n{i + 1}") for i in range(1000)]
+    ring = [("c", f"z{i:03d}", f"z{(i + 1) % 300:03d}") for i in range(300)] + [("c", "y", "z010"), ("c", "x", "y"), ("c", "o", "o")]
+    g, _ = _lines_graph(spark, line + ring + diamonds)
+    got = {(r.project_id, r.id): (r.hops, r.path) for r in traverse.longest_lines(g).collect()}
+    assert got["p", "n0"] == (1000, [f"n{i}" for i in range(1001)])
+    assert got["c", "z005"] == (300, [f"z{(5 + i) % 300:03d}" for i in range(301)]) and got["c", "o"] == (1, ["o", "o"])
+    assert got["c", "x"] == (302, ["x", "y", *(f"z{(10 + i) % 300:03d}" for i in range(301))])
+    assert got["d", "t0"] == (16, [x for i in range(8) for x in (f"t{i}", f"l{i}")] + ["t8"])
+
+
+def test_long_lines_are_followed_to_their_end(spark):
     n = 203
     line = [("extends", f"c{i:03d}", f"c{i + 1:03d}") for i in range(n)]
     # p: its end has two parents. q: its end lies on a cycle. r: nothing odd.

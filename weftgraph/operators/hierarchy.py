@@ -177,15 +177,15 @@ def distinct_links(links: DataFrame, group_cols: list[str], child: str, parent:
     return cols.where("child is not null and parent is not null").groupBy("grp", "child", "parent").agg(F.lit(1).alias("__one")).drop("__one")
 
 
-def _cycles_any(links: DataFrame) -> DataFrame:
-    """``grp, child`` on a directed cycle where nodes may have several parents.
+def _cores(links: DataFrame) -> DataFrame:
+    """``grp, child, core``: nodes of ``grp, child, parent`` links on a directed cycle, and what they're strongly connected by.
 
     Nodes without a way in or without a way out are trimmed until none is left to trim; the rest is split by
     forward and backward minimum labels (a node is on a cycle with the label's owner if both agree), round by
     round, as in distributed strongly connected components. Every round is written to the shared folder.
     """
-    loops = links.where("child = parent").select("grp", "child")
-    rest, found = written(links.where("child <> parent"), "rest"), [loops]
+    loops = links.where("child = parent").select("grp", "child", F.col("child").alias("core"))
+    rest, found = written(links.where("child <> parent"), "rest"), []
     while True:
         while True:
             n = rest.count()
@@ -210,14 +210,35 @@ def _cycles_any(links: DataFrame) -> DataFrame:
                 break
         core = written(lab.where("f = b"), "core")
         big = core.groupBy("grp", "f").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-        found.append(core.join(big, ["grp", "f"], "left_semi").select("grp", F.col("v").alias("child")))
+        found.append(core.join(big, ["grp", "f"], "left_semi").select("grp", F.col("v").alias("child"), F.col("f").alias("core")))
         side = lambda end: lab.select("grp", F.col("v").alias(end), F.struct("f", "b").alias(f"l_{end}"))
         split = rest.join(side("child"), ["grp", "child"]).join(side("parent"), ["grp", "parent"]).where("l_child = l_parent and l_child.f <> l_child.b")
         rest = written(split.select("grp", "child", "parent"), "rest")
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out.distinct()
+    for x in found:
+        loops = loops.join(x.select("grp", "child"), ["grp", "child"], "left_anti").union(x)
+    return loops
+
+
+def _cycles_any(links: DataFrame, fragment_rows: int) -> DataFrame:
+    """``grp, child`` on a directed cycle where nodes may have several parents (forks).
+
+    Lines of nodes with one parent are contracted first, so the rounds of :func:`_cores` grow with the forks on a line,
+    not with its length. Nodes between two forks of one core are on a cycle with them.
+    """
+    forks = written(links.groupBy("grp", "child").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp", "child"), "forks")
+    single = links.join(forks, ["grp", "child"], "left_anti").select("grp", "child", "parent", F.lit(1).cast("bigint").alias("hops"), F.col("child").alias("seg"))
+    lines = written(_solve(written(single, "single"), True, fragment_rows), "lines")
+    on = lines.where(F.col("state") == ON_CYCLE).select("grp", "child")
+    up = lines.select("grp", F.col("child").alias("parent"), "top", "seg", "state")
+    leads = links.join(forks, ["grp", "child"]).join(up, ["grp", "parent"], "left").where("state is null or state = 0")
+    leads = leads.select("grp", "child", F.coalesce("top", "parent").alias("to"), "seg").join(forks.withColumnRenamed("child", "to"), ["grp", "to"])
+    leads = written(leads, "leads")
+    if leads.isEmpty():
+        return on
+    cores = written(_cores(leads.select("grp", "child", F.col("to").alias("parent")).distinct()), "cores")
+    inner = leads.join(cores, ["grp", "child"]).join(cores.withColumnsRenamed({"child": "to", "core": "core_to"}), ["grp", "to"]).where("core = core_to")
+    between = inner.where("seg is not null").select("grp", F.explode(F.split("seg", SEP)).alias("child"))
+    return on.union(cores.select("grp", "child")).union(between).distinct()
 
 
 def resolve(links: DataFrame, group_cols: list[str], child: str = "child", parent: str = "parent", paths: bool = True, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
@@ -238,7 +259,7 @@ def resolve(links: DataFrame, group_cols: list[str], child: str = "child", paren
     several = not one.where("k > 1").isEmpty()
     seg = F.col("child") if paths else F.lit(None).cast("string")
     if several:
-        cyc = written(_cycles_any(all_links), "on_cycles")
+        cyc = written(_cycles_any(all_links, fragment_rows), "on_cycles")
         one = one.join(cyc, ["grp", "child"], "left_anti")  # so that paths end in nodes on cycles
     single = one if several else all_links
     solved = _solve(written(single.select("grp", "child", "parent", F.lit(1).cast("bigint").alias("hops"), seg.alias("seg")), "single") if several or paths else all_links.select("grp", "child", "parent", F.lit(1).cast("bigint").alias("hops"), seg.alias("seg")), paths, fragment_rows)

@@ -5,9 +5,6 @@ Loops over hops write each frontier to the shared folder; a round's action is th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -16,9 +13,6 @@ from weftgraph.graph import Graph, ends, symmetric
 from weftgraph.operators import hierarchy
 from weftgraph.session import written
 
-#: Up to so many links on or below cycles are walked in one task; more are followed by joins.
-ONE_TASK_LINKS = 100_000
-
 
 def trails(links: DataFrame, starts: DataFrame) -> DataFrame:
     """All trails (no link twice) from ``starts`` (``project_id, id``) along ``links`` (``project_id, source, target``).
@@ -43,51 +37,124 @@ def trails(links: DataFrame, starts: DataFrame) -> DataFrame:
 def longest_lines(g: Graph) -> DataFrame:
     """``project_id, id, hops, path`` of the longest trail of extends links of every class that extends something.
 
-    Where lines meet no node that extends several, they are the paths of :mod:`weftgraph.operators.hierarchy`, which needs
-    no round per level, or, on and below cycles, walks in one task. Only lines that lead to a node that extends several,
-    and those on and below cycles if they are many, are followed step by step. All are whole, whatever their length.
+    Lines of nodes that extend one other come from :mod:`weftgraph.operators.hierarchy`, without a round per level. At a node
+    that extends several (a fork) only the best line is kept, so the rounds grow with the forks on a line and nothing grows
+    with the number of ways. A line that meets a cycle goes once around it. Only where a cycle holds a fork is the longest
+    trail no sum of parts: nodes that lead there are followed by :func:`trails`. Ties go to the smallest line of ids.
     """
     e = g.links("extends").where("source is not null and target is not null").select("project_id", "source", "target").distinct()
     e = written(e, "extends")
     classes = g.typed("class").select("project_id", "id")
     forks = written(e.groupBy("project_id", F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("project_id", "id"), "forks")
     forked = not forks.isEmpty()
-    # Nodes that extend several count as roots at first, so a line's root tells whether it leads to one.
-    plain = e.join(forks.withColumnRenamed("id", "source"), ["project_id", "source"], "left_anti") if forked else e
-    project = F.split("grp", "\x1e")[0]
-    solved = hierarchy.resolve(plain, ["project_id"], "source", "target").where("state <> 'tree' or depth > 0").select(project.alias("project_id"), F.col("node").alias("id"), "root", "depth", "path", "state")
-    solved = written(solved, "lines")
-    tree, odd = solved.where("state = 'tree'"), solved.where("state <> 'tree'").select("project_id", "id")
-    follow = forks
     if forked:
-        tops = forks.withColumnRenamed("id", "root")
-        follow = follow.unionByName(tree.join(tops, ["project_id", "root"], "left_semi").select("project_id", "id"))
-        tree = tree.join(tops, ["project_id", "root"], "left_anti")
-    out = tree.join(classes, ["project_id", "id"]).select("project_id", "id", F.col("depth").alias("hops"), F.reverse(F.split("path", hierarchy.SEP)).alias("path"))
-    steps = written(plain.withColumnRenamed("source", "id").join(odd, ["project_id", "id"]).select("project_id", "id", "target"), "cyclic")
-    many = steps.count() > ONE_TASK_LINKS
-    if many:
-        follow = follow.unionByName(odd)
+        cyc = written(_named(hierarchy.cycle_nodes(e, ["project_id"], "source", "target"), "id"), "on_cycles")
+        cut = forks.union(cyc).distinct().withColumnRenamed("id", "source")
+        lines = written(_lines(e.join(cut, ["project_id", "source"], "left_anti")), "lines")
     else:
-        walked = steps.coalesce(1).mapInPandas(_walk, "project_id string, id string, hops bigint, path array<string>")
-        out = out.unionByName(walked.join(classes, ["project_id", "id"]).select("project_id", "id", "hops", "path"))
-    if forked or many:
-        out = out.unionByName(_longest(trails(e, follow.join(classes, ["project_id", "id"]))))
+        solved = written(_solved(e), "solved")
+        cyc = solved.where("state = 'cycle'").select("project_id", "id")
+        lines = solved.where("state = 'tree' and depth > 0").drop("state")
+    looped = not cyc.isEmpty()
+    if looped and not forked:
+        below = solved.where("state = 'below_cycle'").select("project_id", F.col("id").alias("source"))
+        lines = written(lines.unionByName(_lines(e.join(below, ["project_id", "source"], "left_semi"))), "lines")
+    if not forked and not looped:
+        return lines.select("project_id", "id", F.col("depth").alias("hops"), "path").join(classes, ["project_id", "id"], "left_semi")
+    # The best line of every node that others lead to: roots, nodes on cycles, forks.
+    tops, tangled = _around(e, cyc, forks) if looped else (_no_tops(e), cyc.limit(0))
+    if forked:
+        tops, tangled = _best_of_forks(e, forks.join(cyc, ["project_id", "id"], "left_anti"), lines, tops, tangled)
+    at_root = lines.join(tops.select("project_id", F.col("id").alias("root"), F.col("hops").alias("on"), F.col("path").alias("rest")), ["project_id", "root"], "left")
+    whole = at_root.select("project_id", "id", (F.col("depth") + F.coalesce("on", F.lit(0))).alias("hops"), F.when(F.col("rest").isNull(), F.col("path")).otherwise(F.concat(F.slice(F.col("path"), F.lit(1), F.col("depth").cast("int")), "rest")).alias("path"), "root")
+    out = whole.join(tangled.withColumnRenamed("id", "root"), ["project_id", "root"], "left_anti").drop("root").unionByName(tops.where("hops > 0"))
+    out = out.join(classes, ["project_id", "id"], "left_semi")
+    if not tangled.isEmpty():
+        starts = tangled.unionByName(whole.join(tangled.withColumnRenamed("id", "root"), ["project_id", "root"], "left_semi").select("project_id", "id"))
+        out = out.unionByName(_longest(trails(e, starts.join(classes, ["project_id", "id"], "left_semi").distinct())))
     return out
 
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The trail of every node on or below a cycle, one link a node: down to the cycle and once around it."""
-    rows = [r for b in batches for r in b.itertuples(index=False)]
-    up = {(p, i): t for p, i, t in rows}
-    out = []
-    for p, i in up:
-        path, used = [i], set()
-        while (p, path[-1]) in up and path[-1] not in used:
-            used.add(path[-1])
-            path.append(up[p, path[-1]])
-        out.append((p, i, len(path) - 1, path))
-    yield pd.DataFrame(out, columns=["project_id", "id", "hops", "path"])
+def _named(solved: DataFrame, node: str = "id") -> DataFrame:
+    return solved.select(F.split("grp", "\x1e")[0].alias("project_id"), F.col("node").alias(node), *[c for c in solved.columns if c not in ("grp", "node")])
+
+
+def _solved(links: DataFrame) -> DataFrame:
+    """``project_id, id, root, depth, path, state`` of links ``project_id, source, target``; the path runs from the node to its root."""
+    return _named(hierarchy.resolve(links, ["project_id"], "source", "target")).withColumn("path", F.reverse(F.split("path", hierarchy.SEP)))
+
+
+def _lines(links: DataFrame) -> DataFrame:
+    """:func:`_solved` of links without cycles, without the roots."""
+    return _solved(links).where("depth > 0").drop("state")
+
+
+def _no_tops(e: DataFrame) -> DataFrame:
+    return e.limit(0).select("project_id", F.col("source").alias("id"), F.lit(0).cast("bigint").alias("hops"), F.array("source").alias("path"))
+
+
+def _around(e: DataFrame, cyc: DataFrame, forks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Once around for every node on a cycle without forks, and the nodes on cycles that hold or lead to one.
+
+    Each cycle is cut behind its smallest node (found by pointer doubling), which leaves a line of any length to
+    :mod:`weftgraph.operators.hierarchy`; a node's way around is its way to the cut and the start of the whole line.
+    """
+    links = written(e.join(cyc.withColumnRenamed("id", "source"), ["project_id", "source"], "left_semi").join(forks.withColumnRenamed("id", "source"), ["project_id", "source"], "left_anti"), "cyclic")
+    solved = written(_solved(links), "cyclic_lines")
+    on = solved.where("state = 'cycle'").select("project_id", "id")
+    tangled = cyc.join(on, ["project_id", "id"], "left_anti")
+    ring = written(links.join(on.withColumnRenamed("id", "source"), ["project_id", "source"], "left_semi"), "ring")
+    jump = ring.select("project_id", F.col("source").alias("id"), F.col("target").alias("to"), F.least("source", "target").alias("least"))
+    while True:
+        there = jump.select("project_id", F.col("id").alias("to"), F.col("to").alias("far"), F.col("least").alias("seen"))
+        jump = written(jump.join(there, ["project_id", "to"]).select("project_id", "id", F.col("far").alias("to"), F.least("least", "seen").alias("least"), (F.col("seen") < F.col("least")).alias("moved")), "jump")
+        if jump.where("moved").isEmpty():
+            break
+        jump = jump.drop("moved")
+    least = jump.select("project_id", "id", "least")
+    open_ = ring.join(least.withColumnRenamed("id", "source"), ["project_id", "source"])
+    line = written(_lines(open_.where("source <> least").drop("least")), "opened")  # node, its way to the smallest of its cycle
+    first = open_.where("source = least").select("project_id", F.col("least").alias("root"), F.col("target").alias("id"))
+    # The whole cycle from its smallest node on; a loop has no line.
+    whole = first.join(line.select("project_id", "id", "path"), ["project_id", "id"], "left").select("project_id", "root", F.coalesce("path", F.array("root")).alias("cycle"))
+    ways = line.select("project_id", "id", "root", "depth", "path").unionByName(whole.select("project_id", F.col("root").alias("id"), "root", F.lit(0).cast("bigint").alias("depth"), F.array("root").alias("path")))
+    full = ways.join(whole, ["project_id", "root"])
+    n = F.size("cycle").cast("bigint")
+    tops = full.select("project_id", "id", n.alias("hops"), F.concat("path", F.slice("cycle", F.lit(1), (n - F.col("depth")).cast("int"))).alias("path"))
+    return written(tops, "around"), written(tangled, "tangled")
+
+
+def _best_of_forks(e: DataFrame, forks: DataFrame, lines: DataFrame, tops: DataFrame, tangled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Adds the best line of every fork that's on no cycle, and the forks that lead to tangled nodes.
+
+    A fork is solved once all forks and cycles that it leads to are: a round for each fork on the longest line of forks.
+    """
+    via = e.join(forks.withColumnRenamed("id", "source"), ["project_id", "source"]).select("project_id", F.col("source").alias("id"), F.col("target").alias("next"))
+    up = lines.select("project_id", F.col("id").alias("next"), "root", "depth", "path")
+    leads = via.join(up, ["project_id", "next"], "left").select("project_id", "id", F.coalesce("root", "next").alias("to"), (F.coalesce("depth", F.lit(0)) + 1).alias("far"), F.concat(F.array("id"), F.coalesce(F.slice("path", F.lit(1), F.col("depth").cast("int")), F.array().cast("array<string>"))).alias("way"))
+    known = tops.select("project_id", F.col("id").alias("to"), "hops", "path", F.lit(False).alias("odd")).unionByName(tangled.select("project_id", F.col("id").alias("to"), F.lit(0).cast("bigint").alias("hops"), F.array("id").alias("path"), F.lit(True).alias("odd")))
+    wait = forks.select("project_id", F.col("id").alias("to"), F.lit(True).alias("wait"))
+    hops, path = F.col("far") + F.coalesce("hops", F.lit(0)), F.concat("way", F.coalesce("path", F.array("to")))
+    state = ["project_id", "id", "to", "far", "way", hops.alias("hops"), path.alias("path"), F.coalesce("odd", F.lit(False)).alias("odd")]
+    todo = leads.join(known, ["project_id", "to"], "left").join(wait, ["project_id", "to"], "left").select(*state, F.col("wait").isNull().alias("ready"))
+    found: list[str] = []
+    while True:
+        todo = written(todo, "fork_leads")
+        best = F.min(F.struct((-F.col("hops")).alias("k"), F.concat_ws("\x1f", "path").alias("p"), "path")).alias("b")
+        ready = todo.groupBy("project_id", "id").agg(best, F.max("odd").alias("odd"), F.min("ready").alias("ready")).where("ready")
+        new = written(ready.select("project_id", "id", (-F.col("b.k")).alias("hops"), F.col("b.path").alias("path"), "odd"), "fork_best")
+        if new.isEmpty():
+            break
+        found.append(new._weftgraph_path)
+        rest = todo.withColumnsRenamed({"hops": "hops0", "path": "path0", "odd": "odd0"}).join(new.select("project_id", "id"), ["project_id", "id"], "left_anti")
+        fresh = new.select("project_id", F.col("id").alias("to"), "hops", "path", "odd")
+        hit = F.col("hops").isNotNull()
+        rest = rest.join(fresh, ["project_id", "to"], "left")
+        todo = rest.select("project_id", "id", "to", "far", "way", F.when(hit, F.col("far") + F.col("hops")).otherwise(F.col("hops0")).alias("hops"), F.when(hit, F.concat("way", "path")).otherwise(F.col("path0")).alias("path"), F.coalesce("odd", "odd0").alias("odd"), (F.col("ready") | hit).alias("ready"))
+    if not found:
+        return tops, tangled
+    every = e.sparkSession.read.schema(new.schema).parquet(*found)
+    return tops.unionByName(every.where("not odd").drop("odd")), tangled.unionByName(every.where("odd").select("project_id", "id"))
 
 
 def _longest(t: DataFrame) -> DataFrame:
