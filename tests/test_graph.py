@@ -176,8 +176,8 @@ def _lines_graph(spark, links):
     return Graph(nodes, edges), [(r.project_id, r.id) for r in nodes.where("type = 'class'").collect()]
 
 
-@pytest.mark.parametrize("seeds", [(0, 3), (1, 2, 4, 5)])  # without and with forks
-def test_longest_lines_equal_brute_force(spark, seeds):
+@pytest.mark.parametrize("seeds, rows", [((0, 3), 100_000), ((1, 2, 4, 5), 100_000), ((1, 5), 3)])  # without and with forks, cycles across fragments
+def test_longest_lines_equal_brute_force(spark, seeds, rows):
     links = []
     for seed in seeds:
         rnd = random.Random(seed)
@@ -193,7 +193,7 @@ def test_longest_lines_equal_brute_force(spark, seeds):
                 links += [(p, ring[2], names[3]), (p, ring[0], ring[2])]  # forks on a cycle
     links += links[:3]
     g, classes = _lines_graph(spark, links)
-    got = {(r.project_id, r.id): r.path for r in traverse.longest_lines(g).collect()}
+    got = {(r.project_id, r.id): r.path for r in traverse.longest_lines(g, rows).collect()}
     assert got == _brute_lines(links, classes)
 
 

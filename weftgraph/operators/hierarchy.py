@@ -262,7 +262,8 @@ def resolve(links: DataFrame, group_cols: list[str], child: str = "child", paren
         cyc = written(_cycles_any(all_links, fragment_rows), "on_cycles")
         one = one.join(cyc, ["grp", "child"], "left_anti")  # so that paths end in nodes on cycles
     single = one if several else all_links
-    solved = _solve(written(single.select("grp", "child", "parent", F.lit(1).cast("bigint").alias("hops"), seg.alias("seg")), "single") if several or paths else all_links.select("grp", "child", "parent", F.lit(1).cast("bigint").alias("hops"), seg.alias("seg")), paths, fragment_rows)
+    start = single.select("grp", "child", "parent", F.lit(1).cast("bigint").alias("hops"), seg.alias("seg"))
+    solved = _solve(written(start, "single") if several else start, paths, fragment_rows)
     if several:
         on = cyc.select("grp", "child", F.lit(None).cast("string").alias("top"), F.lit(0).cast("bigint").alias("hops"), F.lit(None).cast("string").alias("seg"), F.lit(ON_CYCLE).cast("int").alias("state"))
         solved = _adopt(solved, on)

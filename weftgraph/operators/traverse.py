@@ -5,6 +5,10 @@ Loops over hops write each frontier to the shared folder; a round's action is th
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -34,7 +38,7 @@ def trails(links: DataFrame, starts: DataFrame) -> DataFrame:
     return (links.sparkSession.read.schema(at.schema).parquet(*found) if found else at).drop("used")
 
 
-def longest_lines(g: Graph) -> DataFrame:
+def longest_lines(g: Graph, fragment_rows: int = hierarchy.FRAGMENT_ROWS) -> DataFrame:
     """``project_id, id, hops, path`` of the longest trail of extends links of every class that extends something.
 
     Lines of nodes that extend one other come from :mod:`weftgraph.operators.hierarchy`, without a round per level. At a node
@@ -62,7 +66,7 @@ def longest_lines(g: Graph) -> DataFrame:
     if not forked and not looped:
         return lines.select("project_id", "id", F.col("depth").alias("hops"), "path").join(classes, ["project_id", "id"], "left_semi")
     # The best line of every node that others lead to: roots, nodes on cycles, forks.
-    tops, tangled = _around(e, cyc, forks) if looped else (_no_tops(e), cyc.limit(0))
+    tops, tangled = _around(e, cyc, forks, fragment_rows) if looped else (_no_tops(e), cyc.limit(0))
     if forked:
         tops, tangled = _best_of_forks(e, forks.join(cyc, ["project_id", "id"], "left_anti"), lines, tops, tangled)
     at_root = lines.join(tops.select("project_id", F.col("id").alias("root"), F.col("hops").alias("on"), F.col("path").alias("rest")), ["project_id", "root"], "left")
@@ -93,13 +97,45 @@ def _no_tops(e: DataFrame) -> DataFrame:
     return e.limit(0).select("project_id", F.col("source").alias("id"), F.lit(0).cast("bigint").alias("hops"), F.array("source").alias("path"))
 
 
-def _around(e: DataFrame, cyc: DataFrame, forks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _rings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Once around for the nodes of all cycles that lie within one fragment."""
+    got = [b for b in batches if len(b)]
+    up = {(p, i): t for b in got for p, i, t in b.itertuples(index=False)}
+    seen: set[tuple[str, str]] = set()
+    for key in up:
+        p, way = key[0], []
+        while key in up and key not in seen:
+            seen.add(key)
+            way.append(key[1])
+            key = (p, up[key])
+        if key[1] in way:  # met again: a cycle from there on
+            ring = way[way.index(key[1]) :]
+            for a in range(0, len(ring), 1000):
+                part = range(a, min(len(ring), a + 1000))
+                yield pd.DataFrame({"project_id": p, "id": [ring[i] for i in part], "hops": len(ring), "path": [ring[i:] + ring[: i + 1] for i in part]})
+
+
+def _around(e: DataFrame, cyc: DataFrame, forks: DataFrame, fragment_rows: int) -> tuple[DataFrame, DataFrame]:
     """Once around for every node on a cycle without forks, and the nodes on cycles that hold or lead to one.
 
-    Each cycle is cut behind its smallest node (found by pointer doubling), which leaves a line of any length to
-    :mod:`weftgraph.operators.hierarchy`; a node's way around is its way to the cut and the start of the whole line.
+    Cycles within one fragment (a range of names of bounded size) are walked there. Each other one is cut behind its
+    smallest node (found by pointer doubling), which leaves a line of any length to :mod:`weftgraph.operators.hierarchy`;
+    a node's way around is its way to the cut and the start of the whole line.
     """
-    links = written(e.join(cyc.withColumnRenamed("id", "source"), ["project_id", "source"], "left_semi").join(forks.withColumnRenamed("id", "source"), ["project_id", "source"], "left_anti"), "cyclic")
+    links = written(e.join(cyc.withColumnRenamed("id", "source"), ["project_id", "source"], "left_semi").join(forks.withColumnRenamed("id", "source"), ["project_id", "source"], "left_anti").select("project_id", F.col("source").alias("id"), "target"), "cyclic")
+    parts = max(1, math.ceil(links.count() / fragment_rows))
+    near = links.coalesce(1) if parts == 1 else links.repartitionByRange(parts, "project_id", "id")
+    tops = written(near.mapInPandas(_rings, "project_id string, id string, hops bigint, path array<string>"), "rings")
+    links = written(links.join(tops.select("project_id", "id"), ["project_id", "id"], "left_anti").withColumnRenamed("id", "source"), "further")
+    tangled = cyc.join(tops.select("project_id", "id"), ["project_id", "id"], "left_anti")
+    if links.isEmpty():
+        return tops, written(tangled, "tangled")
+    far, tangled = _around_far(links, tangled)
+    return tops.unionByName(far), tangled
+
+
+def _around_far(links: DataFrame, cyc: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """:func:`_around` for cycles that no fragment holds whole."""
     solved = written(_solved(links), "cyclic_lines")
     on = solved.where("state = 'cycle'").select("project_id", "id")
     tangled = cyc.join(on, ["project_id", "id"], "left_anti")
