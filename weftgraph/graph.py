@@ -1,7 +1,7 @@
 """The graph as two DataFrames, and how it's loaded.
 
-Nodes are one row per (project_id, id) and edges one row per id: of repeated rows the first scanned counts. Types are
-lower case. Links repeated under several ids stay, since the edge set is a multigraph: plain counts count links.
+Nodes are one row per (project_id, id) and edges one row per id, project, type and ends (an id has one of each, so this is
+one per id; stated this way, filters on them reach the scan): of repeated rows the first scanned counts. Types are lower case. Links repeated under several ids stay, since the edge set is a multigraph: plain counts count links.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from weftgraph.session import written
 from weftgraph.sources.tables import table
 
 NODE_TYPES = ("class", "interface", "enum", "exception", "function", "method", "field", "package", "module")
+EDGE_KEY = ["project_id", "type", "source", "target", "id"]
 EDGE_TYPES = ("calls", "implements", "extends", "contains", "references", "throws", "belongs_to")
 
 
@@ -33,12 +35,20 @@ class Graph:
 
     nodes: DataFrame
     edges: DataFrame
+    clean: bool = False
+
+    def once(self) -> Graph:
+        """The same graph with what measures need of it written to the shared folder: rows are made unique once, not per measure."""
+        if self.clean:
+            return self
+        nodes = self.nodes.select("project_id", "id", "type", "name", "qualified_name", "modifiers")
+        return Graph(written(nodes, "nodes"), written(self.edges.select(*EDGE_KEY), "edges"), True)
 
     def project(self, project_id: str | None) -> Graph:
         """The graph of one project (pushed down to the scans), or all of it."""
         if project_id is None:
             return self
-        return Graph(self.nodes.where(F.col("project_id") == project_id), self.edges.where(F.col("project_id") == project_id))
+        return Graph(self.nodes.where(F.col("project_id") == project_id), self.edges.where(F.col("project_id") == project_id), self.clean)
 
     def typed(self, *types: str) -> DataFrame:
         return self.nodes.where(F.col("type").isin(*types))
@@ -51,7 +61,7 @@ def load(spark: SparkSession, folder: str) -> Graph:
     """The graph of a folder with ``code_nodes`` and ``code_edges``."""
     n = table(spark, folder, "code_nodes").withColumn("type", F.lower("type"))
     e = table(spark, folder, "code_edges").withColumn("type", F.lower("type"))
-    return Graph(first_wins(n, ["project_id", "id"], ["scanned_at"]), first_wins(e, ["id"], ["scanned_at"]))
+    return Graph(first_wins(n, ["project_id", "id"], ["scanned_at"]), first_wins(e, EDGE_KEY, ["scanned_at"]))
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

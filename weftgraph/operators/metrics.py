@@ -15,6 +15,10 @@ from weftgraph.operators import traverse
 from weftgraph.session import written
 
 KEY = ["project_id", "id"]
+#: Texts of the issues (fixed values: part of the interface).
+CYCLE_TEXT = "Circular dependency detected in package: "
+GOD_TEXT = "God class detected: %s (%d methods, %d couplings)"
+HIGH_TEXT = "Highly coupled class: %s (%d couplings)"
 #: Thresholds of the rules (fixed values of the domain).
 GOD_METHODS, GOD_COUPLING, HIGH_COUPLING, CRITICAL_COUPLING = 20, 10, 15, 25
 CK_LIMITS = (("wmc", 15.0), ("dit", 4.0), ("noc", 7.0), ("cbo", 10.0), ("rfc", 30.0), ("lcom", 0.7))
@@ -81,6 +85,7 @@ def lcom(g: Graph) -> DataFrame:
 
 def ck_metrics(g: Graph, lift: bool = False) -> DataFrame:
     """All six measures of every class; missing ones are 0."""
+    g = g.once()
     out = _classes(g)
     for name, part in (("wmc", wmc(g)), ("dit", dit(g)), ("noc", noc(g)), ("cbo", cbo(g, lift)), ("rfc", rfc(g)), ("lcom", lcom(g))):
         out = out.join(part, KEY, "left").withColumn(name, F.coalesce(name, F.lit(0)))
@@ -114,6 +119,7 @@ def package_coupling(g: Graph) -> DataFrame:
 
 def package_metrics(g: Graph) -> DataFrame:
     """``ca, ce, instability, abstractness, distance`` of every package."""
+    g = g.once()
     c = g.typed("class").select(*KEY, F.coalesce(F.exists("modifiers", lambda m: F.lower(F.trim(m)) == "abstract"), F.lit(False)).alias("abstract"))
     cls = _inside(g).join(c, KEY).groupBy("project_id", "package").agg(F.count_if("abstract").alias("n_abstract"), F.count(F.lit(1)).alias("n_classes"))
     p = package_coupling(g).join(cls, ["project_id", "package"], "left")
@@ -136,10 +142,11 @@ def high_coupling(g: Graph, more_than: int = HIGH_COUPLING, critical: int = CRIT
 
 def issues(g: Graph, lift: bool = False, **limits: int) -> DataFrame:
     """``project_id, issue, severity, entity, description``: package cycles, god classes, high coupling."""
+    g = g.once()
     k = lambda *names: {n: limits[n] for n in names if n in limits}
-    cyc = traverse.package_cycles(traverse.package_links(g)).select("project_id", F.lit("circular_dependency").alias("issue"), F.lit("high").alias("severity"), F.col("package").alias("entity"), F.concat(F.lit("Circular dependency detected in package: "), F.col("package")).alias("description"))
-    god = god_classes(g, lift=lift, **k("methods", "coupling")).select("project_id", F.lit("god_class").alias("issue"), F.lit("high").alias("severity"), F.col("id").alias("entity"), F.format_string("God class detected: %s (%d methods, %d couplings)", "name", "method_count", "coupling").alias("description"))
-    high = high_coupling(g, lift=lift, **k("more_than", "critical")).select("project_id", F.lit("high_coupling").alias("issue"), "severity", F.col("id").alias("entity"), F.format_string("Highly coupled class: %s (%d couplings)", "name", "coupling").alias("description"))
+    cyc = traverse.package_cycles(traverse.package_links(g)).select("project_id", F.lit("circular_dependency").alias("issue"), F.lit("high").alias("severity"), F.col("package").alias("entity"), F.concat(F.lit(CYCLE_TEXT), F.col("package")).alias("description"))
+    god = god_classes(g, lift=lift, **k("methods", "coupling")).select("project_id", F.lit("god_class").alias("issue"), F.lit("high").alias("severity"), F.col("id").alias("entity"), F.format_string(GOD_TEXT, "name", "method_count", "coupling").alias("description"))
+    high = high_coupling(g, lift=lift, **k("more_than", "critical")).select("project_id", F.lit("high_coupling").alias("issue"), "severity", F.col("id").alias("entity"), F.format_string(HIGH_TEXT, "name", "coupling").alias("description"))
     return cyc.unionByName(god).unionByName(high)
 
 
@@ -153,6 +160,7 @@ def averages(g: Graph, lift: bool = False) -> DataFrame:
 
     The coupling here may include the class itself, as in the totals of the domain.
     """
+    g = g.once()
     c = couplings(g, lift).groupBy("project_id", F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("cbo"))
     all_ = _classes(g).join(c, KEY, "left").join(rfc(g), KEY, "left").join(dit(g), KEY, "left")
     zero = F.lit(0)
@@ -161,6 +169,7 @@ def averages(g: Graph, lift: bool = False) -> DataFrame:
 
 def summary(g: Graph, lift: bool = False, **limits: int) -> DataFrame:
     """Totals, averages, number of issues, score and band of every project."""
+    g = g.once()
     n = issues(g, lift, **limits).groupBy("project_id").agg(F.count(F.lit(1)).alias("issues"))
     s = totals(g).join(averages(g, lift), "project_id", "left").join(n, "project_id", "left")
     s = s.fillna(0.0, ["avg_cbo", "avg_rfc", "avg_dit"]).withColumn("issues", F.coalesce("issues", F.lit(0).cast("bigint")))
