@@ -138,3 +138,11 @@ def test_frameworks(spark):
     finally:
         W.remove("java", "Later")
     assert ("java", "Later") not in W.modules() and W.statistics(spark).where("framework = 'JUnit'").first().annotations == 12
+
+
+@pytest.mark.parametrize(
+    "text, parts",
+    [("a < b, c", ["a < b", "c"]), ("new Map<A, B>(), 'x, y'", ["new Map<A, B>()", "'x, y'"]), ("", []), ("a > b, c < d, e", ["a > b", "c < d", "e"]), ("{a: 1, b: 2}, c,", ["{a: 1, b: 2}", "c"])],
+)
+def test_arguments_split_at_the_outer_level(text, parts):
+    assert E.split_arguments(text) == parts

@@ -100,6 +100,34 @@ def test_scan_and_add_files(store, spark, tmp_path):
     assert store.graph("s").nodes.where("attributes is null").count() == 0
 
 
+def test_files_in_any_order_give_the_graph_of_a_scan(store, spark):
+    texts = {"a.py": "class A:\n    def f(self):\n        return 1\n", "b.py": "from a import A\nclass B(A):\n    def g(self):\n        return self.f()\n", "c.py": "from b import B\nclass C(B): pass\n", "x.py": "class X: pass\n"}
+    df = lambda *names: spark.createDataFrame([("s", n, texts[n]) for n in names], "project_id string, source_file string, text string")
+
+    def got(project):
+        strip = lambda r: tuple(v for k, v in sorted(r.asDict(True).items()) if k != "project_id")
+        return [sorted(map(str, map(strip, store.table(t, project).collect()))) for t in ("nodes", "edges")]
+
+    names = list(texts)
+    as_ = lambda p, rows: rows.withColumn("project_id", F.lit(p))
+    store.add_files("all", as_("all", df(*names)))
+    assert any("b.B_extends_a.A" in e for e in got("all")[1])
+    store.add_files("late", as_("late", df("c.py", "b.py")))
+    store.add_files("late", as_("late", df("x.py")))
+    store.add_files("late", as_("late", df("a.py")))
+    assert got("late") == got("all")
+    store.add_files("late", as_("late", df("a.py")))  # unchanged
+    assert got("late") == got("all")
+    store.add_nodes("late", [{"id": "own", "type": "class", "name": "own"}])
+    store.add_edges("late", [{"id": "own_link", "type": "references", "source": "own", "target": "c.C"}])
+    store.update_node("late", "b.B", description="kept")
+    texts["a.py"] = "class Z: pass\n"
+    store.add_files("late", as_("late", df("a.py")))
+    nodes, edges = got("late")
+    assert not any("a.A" in e for e in edges) and any("own_link" in e for e in edges) and any("'own'" in n for n in nodes)
+    assert store.get_node("late", "b.B")["description"] == "kept" and store.get_node("late", "a.Z") and store.get_node("late", "a.A") is None
+
+
 def test_stream(store, spark, tmp_path):
     box = f"{tmp_path}/in"
     put = lambda text, day: spark.createDataFrame([("s", "m.py", text)], "project_id string, source_file string, text string").withColumn("scanned_at", F.lit(f"2024-01-0{day}").cast("timestamp")).write.mode("append").parquet(box)

@@ -83,23 +83,37 @@ def documentation(comment: str) -> dict[str, list[str]]:
 
 
 def split_arguments(text: str) -> list[str]:
-    """Arguments at the outer level: commas inside brackets or quotes don't split."""
-    out, depth, quote, cur = [], 0, "", ""
-    for i, c in enumerate(text):
-        if quote:
-            quote = "" if c == quote and text[i - 1] != "\\" else quote
-        elif c in "\"'`":
-            quote = c
-        elif c in "([{<":
-            depth += 1
-        elif c in ")]}>":
-            depth -= 1
-        elif c == "," and depth <= 0:
-            out.append(cur.strip())
-            cur = ""
-            continue
-        cur += c
-    return [*out, cur.strip()] if cur.strip() else out
+    """Arguments at the outer level: commas inside brackets, type arguments or quotes don't split.
+
+    The text is cut by the lexer; ``<`` opens type arguments only if its ``>`` comes before the next argument's operator.
+    """
+    try:
+        tokens = c_tokens(text, "js")
+    except Bad:
+        return [text.strip()] if text.strip() else []
+    cuts, i = [], 0
+    while tokens.kind[i] != "end":
+        if tokens.text[i] == "<" and tokens.kind[i] == "op":
+            i = _generic_end(tokens, i)
+        elif tokens.kind[i] == "op" and tokens.text[i] == ",":
+            cuts.append(tokens.at[i])
+        i = tokens.match.get(i, i) + 1
+    parts = [text[a:b].strip() for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(text)])]
+    return parts[:-1] + [p for p in parts[-1:] if p]
+
+
+def _generic_end(tokens: Tokens, i: int) -> int:
+    """The token that closes type arguments opened at token ``i``, or ``i`` if it's a comparison: types hold names, dots, commas, ? and []."""
+    depth, j = 0, i
+    while tokens.kind[j] in ("id", "op"):
+        t = tokens.text[j]
+        depth += (t == "<") - (t == ">")
+        if not depth:
+            return j if tokens.text[j + 1] in ("", "(", ")", ",", ".", ">", "[", "::", "{") else i
+        if tokens.kind[j] == "op" and t not in ("<", ">", ",", ".", "?", "[", "]", "&", "|"):
+            return i
+        j += 1
+    return i
 
 
 def argument_type(value: str) -> str:
@@ -480,7 +494,8 @@ def extract(project: str, path: str, text: str | None, extended: bool = True) ->
 _ANN = pa.struct([("name", pa.string()), ("type", pa.string()), ("source_line", pa.int64()), ("framework", pa.string()), ("category", pa.string()), ("parameters", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string()), ("type", pa.string())])))])
 _PAR = pa.struct([("name", pa.string()), ("type", pa.string()), ("description", pa.string())])
 _SCHEMA = pa.schema([("kind", pa.string()), ("project_id", pa.string()), ("source_file", pa.string()), ("seq", pa.int64()), ("id", pa.string()), ("type", pa.string()), ("name", pa.string()), ("qualified_name", pa.string()), ("description", pa.string()), ("start_line", pa.int64()), ("end_line", pa.int64()), ("modifiers", pa.list_(pa.string())), ("annotations", pa.list_(_ANN)), ("parameters", pa.list_(_PAR)), ("return_type", pa.string()), ("source", pa.string()), ("target", pa.string()), ("line", pa.int64()), ("message", pa.string()), ("severity", pa.string())])
-_DDL = "kind string, project_id string, source_file string, seq bigint, id string, type string, name string, qualified_name string, description string, start_line bigint, end_line bigint, modifiers array<string>, annotations array<struct<name string, type string, source_line bigint, framework string, category string, parameters array<struct<name string, value string, type string>>>>, parameters array<struct<name string, type string, description string>>, return_type string, source string, target string, line bigint, message string, severity string"
+#: The schema of extracted rows.
+EXTRACTED = "kind string, project_id string, source_file string, seq bigint, id string, type string, name string, qualified_name string, description string, start_line bigint, end_line bigint, modifiers array<string>, annotations array<struct<name string, type string, source_line bigint, framework string, category string, parameters array<struct<name string, value string, type string>>>>, parameters array<struct<name string, type string, description string>>, return_type string, source string, target string, line bigint, message string, severity string"
 
 
 def rows(files: DataFrame, extended: bool = True) -> DataFrame:
@@ -498,7 +513,7 @@ def rows(files: DataFrame, extended: bool = True) -> DataFrame:
                 out += [{"kind": k, "seq": i} | at | r for k, rs in (("node", s.nodes), ("edge", s.edges), ("error", s.errors)) for i, r in enumerate(rs)]
             yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 
-    return files.select(F.col("project_id").cast("string").alias("project_id"), F.col("source_file").cast("string").alias("source_file"), F.col("text").cast("string").alias("text")).mapInArrow(run, _DDL)
+    return files.select(F.col("project_id").cast("string").alias("project_id"), F.col("source_file").cast("string").alias("source_file"), F.col("text").cast("string").alias("text")).mapInArrow(run, EXTRACTED)
 
 
 def scan(files: DataFrame, extended: bool = True) -> tuple[Graph, DataFrame]:
@@ -507,11 +522,19 @@ def scan(files: DataFrame, extended: bool = True) -> tuple[Graph, DataFrame]:
     Of nodes with the same project and id the first (by file and place) wins, and so do links with the same id.
     """
     all_ = written(rows(files, extended), "extracted")
+    return graph_of(all_), errors_of(all_)
+
+
+def graph_of(all_: DataFrame) -> Graph:
+    """The graph of extracted rows."""
     order = ["source_file", "seq"]
     n = first_wins(all_.where("kind = 'node'"), ["project_id", "id"], order)
     attributes = F.struct("parameters", "return_type")
     nodes = n.select("project_id", "id", "type", "name", "qualified_name", "source_file", "description", "start_line", "end_line", "modifiers", "annotations", attributes.alias("attributes"))
     e = first_wins(all_.where("kind = 'edge'"), ["project_id", "id"], order)
     edges = e.select("id", "project_id", "type", "source", "target", "source_file", F.struct(F.col("line").alias("line_number")).alias("attributes"))
-    errors = all_.where("kind = 'error'").select("project_id", F.col("source_file").alias("file_path"), "line", "message", "severity")
-    return Graph(nodes, edges), errors
+    return Graph(nodes, edges)
+
+
+def errors_of(all_: DataFrame) -> DataFrame:
+    return all_.where("kind = 'error'").select("project_id", F.col("source_file").alias("file_path"), "line", "message", "severity")

@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.extract.entities import EXTRACTED, errors_of, graph_of
 from weftgraph.extract.entities import rows as extract_rows
-from weftgraph.extract.entities import scan
 from weftgraph.graph import EDGE_TYPES, NODE_TYPES, Graph, ends
 from weftgraph.operators.traverse import resolve_implements
+from weftgraph.session import written
 from weftgraph.sources.tree import ScanConfig, source_files
 
 _ANN = "array<struct<name: string, type: string, source_line: bigint, framework: string, category: string, parameters: array<struct<name: string, value: string, type: string>>>>"
@@ -27,9 +28,10 @@ SCHEMAS = {
     "nodes": f"id string, type string, name string, qualified_name string, source_file string, description string, start_line bigint, end_line bigint, modifiers array<string>, annotations {_ANN}, attributes_json string, project_id string",
     "edges": "id string, type string, source string, target string, source_file string, attributes_json string, project_id string",
     "projects": "name string, description string, created_at timestamp, updated_at timestamp, project_id string",
+    "extracted": EXTRACTED,
     "embeddings": "node_id string, semantic_embedding array<float>, model string, version string, created_at timestamp, project_id string",
 }
-KEYS = {"nodes": ["project_id", "id"], "edges": ["project_id", "id"], "projects": ["project_id"], "embeddings": ["project_id", "node_id"]}
+KEYS = {"nodes": ["project_id", "id"], "edges": ["project_id", "id"], "extracted": ["project_id", "source_file", "kind", "seq"], "projects": ["project_id"], "embeddings": ["project_id", "node_id"]}
 
 
 class NotFound(LookupError):
@@ -174,7 +176,7 @@ class GraphStore:
 
     def clear(self, project: str | None = None) -> None:
         """Empty the graph of one project, or of all."""
-        for name in ("edges", "nodes", "embeddings"):
+        for name in ("edges", "nodes", "embeddings", "extracted"):
             for p in [project] if project is not None else list(self._pointer(name)):
                 self.replace(name, p, None)
 
@@ -204,6 +206,7 @@ class GraphStore:
         if self._one("nodes", project, node_id).isEmpty():
             return False
         self._rewrite("nodes", project, lambda df: df.where(F.col("id") != node_id))
+        self._rewrite("extracted", project, lambda df: df.where((F.col("kind") != "node") | (F.col("id") != node_id)))
         self._rewrite("edges", project, lambda df: df.where((F.col("source") != node_id) & (F.col("target") != node_id)))
         return True
 
@@ -220,12 +223,7 @@ class GraphStore:
         bad = new.where(~F.coalesce(F.col("type").isin(*EDGE_TYPES, "depends_on"), F.lit(False))).limit(1).collect()
         if bad:
             raise Conflict(f"link of type {bad[0]['type']}")
-        nodes = self.table("nodes", project)
-        ok = new.join(ends(nodes, "source"), ["project_id", "source"], "left_semi").join(ends(nodes, "target"), ["project_id", "target"], "left_semi")
-        fixed = resolve_implements(Graph(nodes, new)).where("resolved is not null").select("project_id", "id", "resolved")
-        more = new.join(fixed, ["project_id", "id"]).withColumn("target", F.col("resolved")).drop("resolved")
-        good = ok.unionByName(more.select(*ok.columns))
-        missing = new.join(good.select("project_id", "id"), ["project_id", "id"], "left_anti").select("id", "source", "target")
+        good, missing = self._linked(self.table("nodes", project), new)
         if strict and not missing.isEmpty():
             raise Conflict(f"no node for an end of link {missing.first()['id']}")
         old = self.table("edges", project)
@@ -234,6 +232,15 @@ class GraphStore:
         self.replace("edges", project, old.unionByName(good))
         return missing
 
+    @staticmethod
+    def _linked(nodes: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links whose ends are nodes (implements links perhaps by the name of an interface), and ``id, source, target`` of the others."""
+        ok = new.join(ends(nodes, "source"), ["project_id", "source"], "left_semi").join(ends(nodes, "target"), ["project_id", "target"], "left_semi")
+        fixed = resolve_implements(Graph(nodes, new)).where("resolved is not null").select("project_id", "id", "resolved")
+        more = new.join(fixed, ["project_id", "id"]).withColumn("target", F.col("resolved")).drop("resolved")
+        good = ok.unionByName(more.select(*ok.columns))
+        return good, new.join(good.select("project_id", "id"), ["project_id", "id"], "left_anti").select("id", "source", "target")
+
     def update_edge(self, project: str, edge_id: str, **updates: object) -> None:
         self._update("edges", project, edge_id, updates, ("id", "project_id", "source", "target"))
 
@@ -245,6 +252,7 @@ class GraphStore:
         if self._one("edges", project, edge_id).isEmpty():
             return False
         self._rewrite("edges", project, lambda df: df.where(F.col("id") != edge_id))
+        self._rewrite("extracted", project, lambda df: df.where((F.col("kind") != "edge") | (F.col("id") != edge_id)))
         return True
 
     def _update(self, name: str, project: str, key: str, updates: dict[str, object], fixed: tuple[str, ...]) -> None:
@@ -293,23 +301,48 @@ class GraphStore:
         if clear:
             self.clear(config.project_id)
         files = source_files(self.spark, config)
-        g, errors = scan(files, config.extended)
-        missing = self.put_graph(config.project_id, g)
-        return {"files": files.count(), "nodes": g.nodes.count(), "edges": g.edges.count(), "missing_ends": missing.count(), "errors": errors}
+        new = written(extract_rows(files, config.extended), "extracted")
+        missing = self._index(config.project_id, files.select("source_file").distinct(), new)
+        g = graph_of(new)
+        return {"files": files.count(), "nodes": g.nodes.count(), "edges": g.edges.count(), "missing_ends": missing.count(), "errors": errors_of(new)}
 
     def add_files(self, project: str, files: DataFrame, clear_existing: bool = True) -> DataFrame:
-        """Parse single files (``project_id, source_file, text``) again; what they gave before is replaced. Returns the errors."""
+        """Parse single files (``project_id, source_file, text``) again; what they gave before is replaced. Returns the errors.
+
+        Whatever the order in which files come, the graph is that of a scan of all of them: what each file gave is kept in
+        the table ``extracted``, links that miss an end included, and nodes and links are made from all of it anew.
+        """
         if project not in self._pointer("projects"):
             self.create_project(project)
-        if clear_existing:
-            paths = files.select("source_file").distinct()
-            gone = self.table("nodes", project).join(paths, "source_file", "left_semi").select("id")
-            for end in ("source", "target"):
-                self._rewrite("edges", project, lambda df, end=end: df.join(gone.withColumnRenamed("id", end), end, "left_anti"))
-            self._rewrite("nodes", project, lambda df: df.join(paths, "source_file", "left_anti"))
-        g, errors = scan(files)
-        self.put_graph(project, g)
-        return errors
+        new = written(extract_rows(files), "extracted")
+        self._index(project, files.select("source_file").distinct() if clear_existing else files.select("source_file").limit(0), new)
+        return errors_of(new)
+
+    def _index(self, project: str, paths: DataFrame, new: DataFrame) -> DataFrame:
+        """Put extracted rows in place of those of ``paths``; returns the links that miss an end.
+
+        Nodes and links that no file gave stay, as do changes to those of other files.
+        """
+        old = self.table("extracted", project)
+        gone = {k: old.where(F.col("kind") == k).select("id").distinct() for k in ("node", "edge")}
+        self.replace("extracted", project, old.join(paths, "source_file", "left_anti").unionByName(new).dropDuplicates(KEYS["extracted"]))
+        g = graph_of(self.table("extracted", project))
+        flat = lambda df, name: self._tidy(df.withColumn("attributes_json", F.to_json("attributes", {"ignoreNullFields": "false"})).withColumn("type", F.lower("type"))).select(*[f.name for f in T._parse_datatype_string(SCHEMAS[name]).fields])
+
+        def merged(name: str, made: DataFrame, had: DataFrame, same: list[str]) -> DataFrame:
+            kept = self.table(name, project).join(paths, "source_file", "left_anti").join(made.select(*same), same, "left_semi")
+            own = self.table(name, project).join(had, "id", "left_anti").join(made.select("id"), "id", "left_anti")
+            return made.join(kept.select("id"), "id", "left_anti").unionByName(kept).unionByName(own)
+
+        nodes = merged("nodes", flat(g.nodes, "nodes"), gone["node"], ["id", "source_file"])
+        self.replace("nodes", project, nodes)
+        nodes = self.table("nodes", project)
+        good, missing = self._linked(nodes, flat(g.edges, "edges"))
+        edges = merged("edges", good, gone["edge"], ["id", "source_file", "source", "target"])
+        edges = edges.join(ends(nodes, "source"), ["project_id", "source"], "left_semi").join(ends(nodes, "target"), ["project_id", "target"], "left_semi")
+        missing = written(missing, "missing")
+        self.replace("edges", project, edges)
+        return missing
 
 
 ATTRIBUTES = "parameters array<struct<name string, type string, description string>>, return_type string, implements array<string>, extends string"
