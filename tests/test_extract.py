@@ -140,6 +140,25 @@ def test_frameworks(spark):
     assert ("java", "Later") not in W.modules() and W.statistics(spark).where("framework = 'JUnit'").first().annotations == 12
 
 
+TSX = """import React from 'react';
+/** Shows the boats. */
+export const App = (p: Props) => <div onClick={() => go(p)}>don't {p.name}</div>;
+export function Row() { return <li key="a">{xs.map((x) => <b>{x < 1 ? <></> : load(x)}</b>)}</li>; }
+class Panel extends React.Component<P> { render() { return <Box<string> {...p} a='1' b=<i/> />; } }
+const id = <T,>(x: T) => x;
+"""
+
+
+def test_markup_in_scripts():
+    s = E.extract("p", "ui/App.tsx", TSX)
+    assert not s.errors and {(n["type"], n["id"]) for n in s.nodes} == {("module", "ui.App"), ("class", "ui.App.Panel"), ("function", "ui.App.App"), ("function", "ui.App.Row"), ("function", "ui.App.id"), ("method", "ui.App.Panel.render")}
+    assert {"ui.App.App_calls_ui.App.go", "ui.App.Row_calls_ui.App.load"} <= {e["id"] for e in s.edges}
+    assert next(n for n in s.nodes if n["name"] == "App" and n["type"] == "function")["description"] == "Shows the boats."
+    for bad in ("x = <div>hi</span>;", "x = <div>hi;", "x = <div a=>1</div>;", "x = <div>{a b}</div>;", "x = <div>}</div>;", "x = <div", "x = <>a</b>;"):
+        assert E.extract("p", "a.jsx", bad).errors, bad
+    assert E.extract("p", "a.ts", "const x = <div>hi</div>;").errors and not E.extract("p", "a.ts", "const y = <T>(x);").errors
+
+
 @pytest.mark.parametrize(
     "text, parts",
     [("a < b, c", ["a < b", "c"]), ("new Map<A, B>(), 'x, y'", ["new Map<A, B>()", "'x, y'"]), ("", []), ("a > b, c < d, e", ["a > b", "c < d", "e"]), ("{a: 1, b: 2}, c,", ["{a: 1, b: 2}", "c"])],

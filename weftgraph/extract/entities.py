@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.extract import frameworks
 from weftgraph.extract.grammar import Java, Script
-from weftgraph.extract.lexers import Bad, Tokens, c_tokens
+from weftgraph.extract.lexers import Bad, Tokens, c_tokens, dialect
 from weftgraph.graph import Graph, first_wins
 from weftgraph.session import written
 
@@ -234,7 +234,7 @@ def _dotted(path: str) -> str:
 
 def c_like(sheet: Sheet, text: str, extended: bool = True) -> None:
     java = sheet.language == "java"
-    t = c_tokens(text, "java" if java else "js")
+    t = c_tokens(text, dialect(sheet.language, sheet.path))
     p = Java(t) if java else Script(t, sheet.language == "typescript")
     p.file()
     breaks = [0, *(m.end() for m in re.finditer(r"\r\n|\n|\r", text))]
@@ -332,9 +332,9 @@ def c_like(sheet: Sheet, text: str, extended: bool = True) -> None:
             returns = text[t.at[a] : t.at[z]].strip().removesuffix("=>").strip()
         sheet.node("method" if owner else "function", own, qn, line(t.at[f.start]), line(t.at[f.close]) if f.close >= 0 else line(t.at[f.name]), parameters=params, return_type=returns, **head(f.start, f.name))
         sheet.edge("contains" if owner else "belongs_to", owner if owner else qn, qn if owner else module)
-        if f.open >= 0:
+        if f.close >= 0:
             known = {n: f"{names[o]}.{n}" if o in names else f"{home}.{n}" for o, n in methods if o == f.owner or o is None}
-            for c in token_calls(t, f.open, f.close, imports, known | names, line):
+            for c in token_calls(t, f.open if f.open >= 0 else f.name + 1, f.close + 1, imports, known | names, line):
                 if c["kind"] != "super":
                     sheet.edge("calls", qn, c["target"] if "." in c["target"] or not home else f"{home}.{c['target']}", c["line"])
             if extended and java:
@@ -483,7 +483,7 @@ def extract(project: str, path: str, text: str | None, extended: bool = True) ->
     except SyntaxError as e:
         sheet = Sheet(project, path, language)
         sheet.error(e.msg or "invalid syntax", e.lineno)
-    except (RecursionError, ValueError, IndexError) as e:
+    except (RecursionError, MemoryError, ValueError, IndexError) as e:
         sheet = Sheet(project, path, language)
         sheet.error(f"{type(e).__name__}: {e}")
     return sheet
@@ -502,7 +502,7 @@ def rows(files: DataFrame, extended: bool = True) -> DataFrame:
     """All rows (``kind`` node, edge, error) of files with ``project_id, source_file, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(12_000)
+        sys.setrecursionlimit(1_000_000)  # the acceptors' frames lie on the heap
         for b in batches:
             out = []
             for project, path, text in zip(*(c.to_pylist() for c in b.columns)):

@@ -23,7 +23,7 @@ JAVA_ASSIGN = frozenset("= += -= *= /= %= &= |= ^= <<=".split())
 
 
 class Function(NamedTuple):
-    """A function or method, by tokens: its name, the first of its declaration, its body's braces (or -1)."""
+    """A function or method, by tokens: its name, the first of its declaration, its body's braces (-1 without; a body that's an expression has no first, and its last token)."""
 
     name: int
     start: int
@@ -465,7 +465,12 @@ class Script(_Base):
         function = t == "function" or t == "async" and self.t[a + 1] == "function"
         self.assign(no_in)
         z = self.i - 1
-        if name < 0 or not (function or self.t[z] == "}"):
+        if name < 0:
+            return
+        if not function and self.arrow_at == a and self.arrow_open < 0:  # an arrow function whose body is an expression
+            self.found.append(Function(name, first if first >= 0 else name, -1, z, self.owners[-1] if self.owners else None))
+            return
+        if not (function or self.t[z] == "}"):
             return
         if function or self.arrow_at == a and self.match.get(self.arrow_open) == z:
             opened = next((o for o in range(z - 1, a, -1) if self.match.get(o) == z), -1)
@@ -692,6 +697,7 @@ class Script(_Base):
             self.arrow_at, self.arrow_open = a, o
         else:
             self.assign()
+            self.arrow_at, self.arrow_open = a, -1
 
     def arrow(self) -> None:
         if self.ts:
@@ -798,7 +804,7 @@ class Script(_Base):
     def starts(self, i: int) -> bool:
         """Whether token ``i`` may begin an operand right after 'await'."""
         k, t = self.k[i], self.t[i]
-        return k in ("num", "str", "tpl", "head", "re") or k == "id" and t not in ("in", "of", "instanceof", "as") or t in ("(", "[", "{", "!", "~", "<")
+        return k in ("num", "str", "tpl", "head", "re", "markup") or k == "id" and t not in ("in", "of", "instanceof", "as") or t in ("(", "[", "{", "!", "~", "<")
 
     def lhs(self) -> bool:
         if self.t[self.i] == "new" and self.k[self.i] == "id":
@@ -892,6 +898,9 @@ class Script(_Base):
         if k in ("tpl", "head"):
             self.template()
             return False
+        if k == "markup":
+            self.element()
+            return False
         if k == "id":
             if t == "function" or t == "async" and self.t[self.i + 1] == "function" and not self.nl[self.i + 1]:
                 self.eat("async")
@@ -952,6 +961,17 @@ class Script(_Base):
         self.bad()
         return False
 
+    def element(self) -> None:
+        """A markup element: the expressions in its braces."""
+        self.i += 1
+        while self.k[self.i] != "endmarkup":
+            self.need("{")
+            if not self.eat("}"):
+                self.eat("...")
+                self.expression()
+                self.need("}")
+        self.i += 1
+
     def object_(self) -> None:
         self.need("{")
         while not self.eat("}"):

@@ -20,7 +20,7 @@ class Bad(Exception):
 
 
 class Tokens(NamedTuple):
-    kind: list[str]  # id num str chr re tpl head mid tail op end
+    kind: list[str]  # id num str chr re tpl head mid tail op markup endmarkup end
     text: list[str]
     at: list[int]
     newline: list[bool]  # a line break lies between this token and the one before
@@ -51,6 +51,16 @@ _JS = re.compile(
 )
 _TPL = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*(?:(`)|(\$\{))", re.S)
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[a-z]*")
+#: Extensions of files with markup elements (fixed values).
+MARKUP = (".tsx", ".jsx")
+_TAG = re.compile(r"<\s*((?:[^\W\d]|\$)[\w$.:\-]*)?")
+_END_TAG = re.compile(r"</\s*((?:[^\W\d]|\$)[\w$.:\-]*)?\s*>")
+_BLANK = re.compile(r"(?:\s|//[^\n\r]*|/\*.*?\*/)*", re.S)
+_ATTRIBUTE = re.compile(r"(?:[^\W\d]|\$)[\w$:.\-]*")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+#: In TypeScript, ``<`` where an operand may stand opens type parameters if one of these follows.
+_TYPE_PARAMETERS = re.compile(r"<\s*(?:const\s+)?(?:[^\W\d]|\$)[\w$]*\s*(?:,|=|extends\b)")
+_TYPED_CALL = re.compile(r"<\s*(?:[^\W\d]|\$)[\w$]*\s*>\s*\(")
 #: After these words a slash starts a regular expression.
 _BEFORE_REGEX = frozenset("return typeof instanceof in of new delete void throw case do else yield await".split())
 
@@ -66,9 +76,18 @@ def conflict(text: str) -> int:
     return -1
 
 
+def dialect(language: str, path: str | None) -> str:
+    """What :func:`c_tokens` reads a file of a language as."""
+    return "java" if language == "java" else "jsx" if (path or "").lower().endswith(MARKUP) else "js"
+
+
 def c_tokens(text: str, lang: str) -> Tokens:
-    """Tokens of Java ('java') or JavaScript and TypeScript ('js')."""
-    rx = _JAVA if lang == "java" else _JS
+    """Tokens of Java ('java'), of JavaScript and TypeScript ('js'), and of both with markup elements ('jsx').
+
+    An element is a token ``markup``, the tokens of the expressions in it within their braces, and a token ``endmarkup``.
+    """
+    rx, jsx = (_JAVA if lang == "java" else _JS), lang == "jsx"
+    lang = "js" if jsx else lang
     kind: list[str] = []
     out: list[str] = []
     at: list[int] = []
@@ -91,6 +110,72 @@ def c_tokens(text: str, lang: str) -> Tokens:
         newline.append(nl)
         nl = False
 
+    def opened(p: int) -> int:
+        """Read the start of a tag at ``p``, up to its attributes."""
+        m = _TAG.match(text, p)
+        stack.append(("<tag", m.group(1) or ""))
+        q = m.end()
+        if m.group(1) and text.startswith("<", q):  # type arguments of the element
+            depth = 0
+            while q < n:
+                depth += (text[q] == "<") - (text[q] == ">")
+                q += 1
+                if not depth:
+                    break
+        return q
+
+    def markup(p: int) -> int:
+        """Read on in the element on top of the stack, up to an expression's brace or the end of the outermost element."""
+        while True:
+            if stack[-1][0] == "<tag":
+                p = _BLANK.match(text, p).end()
+                if text.startswith("/>", p) and stack[-1][1]:
+                    stack.pop()
+                    p += 2
+                elif text.startswith(">", p):
+                    stack[-1] = ("<kids", stack[-1][1])
+                    p += 1
+                    continue
+                elif text.startswith("{", p):
+                    stack.append(("{", len(kind)))
+                    push("op", "{", p)
+                    return p + 1
+                else:
+                    m = _ATTRIBUTE.match(text, p) if stack[-1][1] else None
+                    if m is None:
+                        raise Bad("premature end" if p >= n else "unexpected token", p)
+                    p = _BLANK.match(text, m.end()).end()
+                    if text.startswith("=", p):
+                        p = _BLANK.match(text, p + 1).end()
+                        m = _QUOTED.match(text, p)
+                        if m:
+                            p = m.end()
+                        elif text.startswith("<", p):
+                            p = opened(p)
+                        elif not text.startswith("{", p):
+                            raise Bad("premature end" if p >= n else "unterminated literal" if text[p] in "\"'" else "unexpected token", p)
+                    continue
+            else:
+                while p < n and text[p] not in "{}<>":
+                    p += 1
+                if text.startswith("{", p):
+                    stack.append(("{", len(kind)))
+                    push("op", "{", p)
+                    return p + 1
+                if not text.startswith("<", p):
+                    raise Bad("premature end" if p >= n else "unexpected token", min(p, n - 1))
+                if not text.startswith("</", p):
+                    p = opened(p)
+                    continue
+                m = _END_TAG.match(text, p)
+                if m is None or (m.group(1) or "") != stack[-1][1]:
+                    raise Bad("unbalanced delimiter", p)
+                stack.pop()
+                p = m.end()
+            if not stack or stack[-1][0] not in ("<tag", "<kids"):
+                push("endmarkup", "", p)
+                return p
+
     match_at = rx.match
     while pos < n:
         m = match_at(text, pos)
@@ -120,6 +205,10 @@ def c_tokens(text: str, lang: str) -> Tokens:
                 push("re", r.group(), start)
                 continue
             i = len(kind)
+            if jsx and t == "<" and _opens_markup(text, start, kind, out, parens):
+                push("markup", "", start)
+                pos = markup(opened(start))
+                continue
             if t in CLOSE:
                 stack.append((t, i))
             elif t in ")]}":
@@ -145,6 +234,8 @@ def c_tokens(text: str, lang: str) -> Tokens:
             at.append(start)
             newline.append(nl)
             nl = False
+            if jsx and t == "}" and stack and stack[-1][0] in ("<tag", "<kids"):
+                pos = markup(pos)
         elif g == "tick":
             h = _TPL.match(text, pos)
             if h is None:
@@ -169,6 +260,22 @@ def c_tokens(text: str, lang: str) -> Tokens:
     return Tokens(kind, out, at, newline, match, comments)
 
 
+def _opens_markup(text: str, at: int, kind: list[str], out: list[str], parens: dict[int, bool]) -> bool:
+    """Whether ``<`` at ``at`` opens an element: an operand may stand there and it's no list of type parameters."""
+    after = text[at + 1 : at + 2]
+    if not (after.isalpha() or after in ("_", "$", ">")) or not _regex_next(kind, out, parens) or _TYPE_PARAMETERS.match(text, at):
+        return False
+    if _TYPED_CALL.match(text, at) and out:
+        if out[-1] == "=":  # type F = <T>(x: T) => T
+            i = len(out) - 2
+            while i >= 0 and out[i] not in (";", "{", "}"):
+                if out[i] == "type" and kind[i] == "id":
+                    return False
+                i -= 1
+        return out[-1] != ":" or "</" in text[at:]
+    return True
+
+
 def _regex_next(kind: list[str], out: list[str], parens: dict[int, bool]) -> bool:
     if not kind:
         return True
