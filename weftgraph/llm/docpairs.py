@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.extract.grammar import Java, Script
-from weftgraph.extract.lexers import Bad, Tokens, c_tokens, py_tokens
+from weftgraph.extract.lexers import Bad, Tokens, c_tokens, dialect, py_tokens
 from weftgraph.llm.syntax import DEPTH, language_of
 from weftgraph.session import written
 
@@ -234,7 +234,7 @@ def _module(path: str) -> str:
 
 
 def _c_like(text: str, language: str, path: str) -> tuple[list[Doc], list[Class]]:
-    tokens = c_tokens(text, "java" if language == "java" else "js")
+    tokens = c_tokens(text, dialect(language, path))
     p = Java(tokens) if language == "java" else Script(tokens, language == "typescript")
     p.file()
     ends = [e for _, e in tokens.comments]

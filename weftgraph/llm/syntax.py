@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.extract.grammar import Java, Script
-from weftgraph.extract.lexers import Bad, c_tokens, conflict, py_tokens
+from weftgraph.extract.lexers import Bad, c_tokens, conflict, dialect, py_tokens
 
 #: Languages by extension (fixed values).
-EXTENSIONS = {"java": "java", "py": "python", "pyi": "python", "ts": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "mjs": "javascript", "cjs": "javascript"}
+EXTENSIONS = {"java": "java", "py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript"}
 #: Deeply nested files need deep recursion; the acceptors' frames lie on the heap, not on the C stack.
 DEPTH = 1_000_000
 
@@ -45,8 +45,8 @@ def _python(text: str) -> None:
         raise Bad("nesting", 0) from None
 
 
-def check(text: str | None, language: str | None) -> tuple[str, int] | None:
-    """The first error as its kind and line (from 1), or None if the text is valid.
+def check(text: str | None, language: str | None, path: str | None = None) -> tuple[str, int] | None:
+    """The first error as its kind and line (from 1), or None if the text is valid; in .tsx and .jsx files markup is.
 
     Null and empty texts and texts of unknown language are valid.
     """
@@ -63,7 +63,7 @@ def check(text: str | None, language: str | None) -> tuple[str, int] | None:
                 raise e
             return None
         try:
-            tokens = c_tokens(text, "java" if language == "java" else "js")
+            tokens = c_tokens(text, dialect(language, path))
             (Java(tokens) if language == "java" else Script(tokens, language == "typescript")).file()
         except Bad as e:
             if at >= 0:
@@ -86,8 +86,9 @@ def verdicts(files: DataFrame, id_col: str = "file_id", path_col: str = "source_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(DEPTH)
         for b in batches:
-            lang = [language_of(p) for p in b.column(1).to_pylist()]
-            got = [check(t, x) for t, x in zip(b.column(2).to_pylist(), lang)]
+            paths = b.column(1).to_pylist()
+            lang = [language_of(p) for p in paths]
+            got = [check(t, x, p) for t, x, p in zip(b.column(2).to_pylist(), lang, paths)]
             cols = [b.column(0), pa.array(lang, pa.string()), pa.array([g is None for g in got]), pa.array([g and g[0] for g in got], pa.string()), pa.array([g and g[1] for g in got], pa.int64())]
             yield pa.RecordBatch.from_arrays([*cols, *(b.column(3 + i) for i in range(len(keep)))], ["file_id", "language", "valid", "error", "error_line", *keep])
 
