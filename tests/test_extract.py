@@ -165,3 +165,33 @@ def test_markup_in_scripts():
 )
 def test_arguments_split_at_the_outer_level(text, parts):
     assert E.split_arguments(text) == parts
+
+
+def test_annotations_by_import(spark):
+    java = "package p;\nimport org.axonframework.commandhandling.CommandHandler;\nimport io.micronaut.http.annotation.Controller;\nimport my.Own;\nclass A { @CommandHandler void f() { } @Own void g() { } @Override void h() { } }\n"
+    notes = lambda rows: {n["annotations"][0]["name"]: (n["annotations"][0]["framework"], n["annotations"][0]["category"]) for n in rows if n["annotations"]}
+    got = notes(E.extract("p", "p/A.java", java).nodes)
+    assert got == {"@CommandHandler": ("Axon Framework", "messaging"), "@Own": (None, None), "@Override": ("Java", "core")}
+    df = spark.createDataFrame([("p", "p/A.java", java)], "project_id string, source_file string, text string")
+    W.register("java", "House", {"own": "Own"})
+    try:  # tasks know what's registered on the driver
+        rows = [r.asDict(True) for r in E.rows(df).where("kind = 'node'").collect()]
+        assert notes(rows)["@Own"] == ("House", "own")
+    finally:
+        W.remove("java", "House")
+    rows = [r.asDict(True) for r in E.rows(df).where("kind = 'node'").collect()]
+    assert notes(rows)["@Own"] == (None, None)
+
+
+def test_import_patterns_equal_brute_force(spark):
+    import re
+
+    modules = ["org.springframework.boot.SpringApplication", "org.springframework.web.X", "java.util.List", "javax.ws.rs.GET", "play.mvc.Http", "nothing.here", "lombok.Data", "org.springframeworks.no"]
+    df = spark.createDataFrame([(f"f{i}", "java", m) for i, m in enumerate(modules)], "file string, language string, module string")
+    got = {r.file: (r.framework, r.confidence) for r in W.by_imports(df, W.framework_imports(spark)).collect()}
+    want = {}
+    for i, m in enumerate(modules):
+        hits = [(-c, k, fw) for k, ((lang, fw), ps) in enumerate(W.IMPORTS.items()) if lang == "java" for p, c in ps.items() if re.search("^" + re.escape(p).replace(r"\*", ".*") + "$", m)]
+        if hits:
+            want[f"f{i}"] = (min(hits)[2], -min(hits)[0])
+    assert got == want

@@ -152,6 +152,13 @@ def test_detection(spark, tmp_path):
     assert detect.can_detect("x/My.csproj") and not detect.can_detect("x/pom.xml.bak") and "target" in detect.recommended(["java"])["exclude_paths"]
     assert detect.validate_structure(spark, files)["valid"] and not detect.validate_structure(spark, files.limit(0))["valid"]
     assert detect.metadata("package.json", "{broken")["name"] is None and detect.package_manager({"pnpm-lock.yaml", "yarn.lock"}) == "pnpm"
+    sln = 'VisualStudioVersion = 17.1\nProject("{F}") = "Core", "Core\\\\Core.csproj", "{A}"\nEndProject\n'
+    assert detect.metadata("All.sln", sln) == {"name": "All", "version": "17.1", "dependencies": ["Core"], "framework": None}
+    assert detect.metadata("setup.py", "setup(name='x', install_requires=['flask>=1', \"numpy\"])")["dependencies"] == ["flask", "numpy"]
+    assert detect.metadata("pyproject.toml", "[tool.poetry.dependencies]\npython = '^3'\ndjango = '^4'\n[tool.x]\ny = 1\n")["dependencies"] == ["django"]
+    assert detect.metadata("setup.cfg", "[options]\ninstall_requires =\n    flask\n    numpy>=1\n")["dependencies"] == ["flask", "numpy"]
+    found = detect.detect_tree(spark, ScanConfig(str(root), "t"))
+    assert found["valid"] and {m["path"] for m in found["metadata"]} >= {"package.json", "sub/pom.xml"} and found["file_counts"]["python"] >= 1
     assert detect.metadata("requirements.txt", "flask==1\n# x\nnumpy\n")["framework"] == "Flask"
 
 

@@ -7,9 +7,9 @@ import sys
 
 from weftgraph.api import GraphApi
 from weftgraph.session import build_session
-from weftgraph.sources.detect import validate_structure
+from weftgraph.sources.detect import detect_tree
 from weftgraph.sources.git import is_git_url
-from weftgraph.sources.tree import EXCLUDES, ScanConfig, source_files
+from weftgraph.sources.tree import EXCLUDES, ScanConfig
 from weftgraph.store import GraphStore
 
 
@@ -37,7 +37,7 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = build_session(master=a.master or None)
     if a.command == "validate":
-        found = validate_structure(spark, source_files(spark, ScanConfig(a.path, "check")))
+        found = detect_tree(spark, ScanConfig(a.path, "check"))
         print("valid" if found["valid"] else "invalid", ", ".join(found["languages"]), *found["suggestions"], sep="\n")
         return 0 if found["valid"] else 1
     store = GraphStore(spark, a.store)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from weftgraph.graph import Graph
 from weftgraph.operators import annotations, lookup, metrics, paging, projects, semantic, traverse
 from weftgraph.sources import git
-from weftgraph.sources.detect import validate_structure
-from weftgraph.sources.tree import ScanConfig, source_files
+from weftgraph.sources.detect import detect_tree
+from weftgraph.sources.tree import ScanConfig
 from weftgraph.store import GraphStore
 
 
@@ -172,10 +172,11 @@ class GraphApi:
 
     def scan_dir(self, config: ScanConfig, clear: bool = False) -> dict[str, object]:
         """Scan a tree; counts, errors and the report's text."""
-        found = validate_structure(self.store.spark, source_files(self.store.spark, config))
+        found = detect_tree(self.store.spark, config)
         if not found["valid"]:
             raise ValueError("; ".join(found["suggestions"]))  # type: ignore[arg-type]
         out = self.store.scan(config, clear)
+        out["build"] = {k: found[k] for k in ("primary", "metadata", "sub_projects", "mono_repo")}
         return out | {"report": projects.report(self._graph(config.project_id), out["errors"])}  # type: ignore[operator]
 
     def validate_remote_repo(self, url: str) -> dict[str, object]:

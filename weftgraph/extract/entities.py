@@ -128,22 +128,19 @@ def argument_type(value: str) -> str:
     return "collection" if value[:1] in "[{(" else "identifier"
 
 
-def annotation(name: str, arguments: str | None, line: int, language: str) -> dict:
-    """An annotation with its parameters, framework and category (null where unknown)."""
+def annotation(name: str, arguments: str | None, line: int, language: str, imports: dict[str, str] | None = None) -> dict:
+    """An annotation with its parameters, framework and category (null where unknown), if need be from the file's imports."""
     params = []
     for i, a in enumerate(split_arguments(arguments or "")):
         m = re.match(r"(\w+)\s*[=:]\s*(?!=)(.*)", a, re.S)
         key, value = (m.group(1), m.group(2)) if m and a[:1] not in "\"'{[" else (f"arg{i}" if i else "value", a)
         params.append({"name": key, "value": value, "type": argument_type(value)})
-    known = _known(language).get(name.removeprefix("@"))
+    own, lang = name.removeprefix("@"), "typescript" if language == "javascript" else language
+    source = (imports or {}).get(own.split(".")[0])
+    known = frameworks.known(lang).get(own) or source and frameworks.by_import(lang, source)
     return {"name": name if language == "python" else "@" + name, "type": "decorator" if language != "java" else "annotation", "source_line": line, "framework": known and known[0], "category": known and known[1], "parameters": params}
 
 
-def _known(language: str) -> dict[str, tuple[str, str]]:
-    lang = "typescript" if language == "javascript" else language
-    return {a: (mod, cat) for la, mod, _, a, cat in frameworks.annotation_rows() if la == lang}
-
-
 def calls(text: str, language: str, imports: dict[str, str], known: dict[str, str]) -> list[dict]:
     """Calls in a piece of code: ``target, kind, line, receiver``; kinds are constructor, super, static, instance, function."""
     out = []
@@ -277,7 +274,7 @@ def c_like(sheet: Sheet, text: str, extended: bool = True) -> None:
                 if t.text[j] == "(" and j in t.match:
                     args = text[t.at[j] + 1 : t.at[t.match[j]]]
                     j = t.match[j] + 1
-                notes.append(annotation(called, args, line(t.at[i]), sheet.language))
+                notes.append(annotation(called, args, line(t.at[i]), sheet.language, imports))
                 i = j
                 continue
             if t.text[i] in MODIFIERS and t.kind[i] == "id":
@@ -501,9 +498,12 @@ EXTRACTED = "kind string, project_id string, source_file string, seq bigint, id
 def rows(files: DataFrame, extended: bool = True) -> DataFrame:
     """All rows (``kind`` node, edge, error) of files with ``project_id, source_file, text``."""
 
+    modules = frameworks.snapshot()  # as registered on the driver
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(1_000_000)  # the acceptors' frames lie on the heap
         for b in batches:
+            frameworks.restore(modules)
             out = []
             for project, path, text in zip(*(c.to_pylist() for c in b.columns)):
                 if path is None:

@@ -113,3 +113,8 @@ def git_project_id(url: Column) -> Column:
 def git_cache_key(host: Column, owner: Column, repo: Column, branch: Column) -> Column:
     """The first 16 digits of the SHA-256 of host/owner/repo/branch."""
     return F.substring(F.sha2(F.concat_ws("/", host, owner, repo, F.coalesce(branch, F.lit("default"))), 256), 1, 16)
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is valid JSON; null of null."""
+    return F.when(text.isNotNull(), F.try_parse_json(text).isNotNull())

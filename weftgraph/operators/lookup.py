@@ -88,10 +88,10 @@ def annotation_predicate(name: str | None = None, framework: str | None = None,
 
 
 def nodes_by_annotation(g: Graph, name: str, framework: str | None = None, category: str | None = None, node_type: str | None = None) -> DataFrame:
-    """Nodes with one annotation that meets all conditions; ``matched`` is the first annotation of that name."""
+    """Nodes with one annotation that meets all conditions; ``matched`` is the first that does."""
     df = g.nodes if node_type is None else g.typed(node_type)
     df = df.where(F.exists("annotations", annotation_predicate(name, framework, category)))
-    return _sorted(df.withColumn("matched", F.get(F.filter("annotations", lambda a: a["name"] == name), F.lit(0))), "qualified_name", "project_id", "id")
+    return _sorted(df.withColumn("matched", F.get(F.filter("annotations", annotation_predicate(name, framework, category)), F.lit(0))), "qualified_name", "project_id", "id")
 
 
 def class_names(g: Graph, wanted: DataFrame) -> DataFrame:

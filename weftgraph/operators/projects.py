@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
 
+LANGUAGE_ORDER = ("typescript", "javascript", "java", "python", "csharp")
+
 
 def stats(g: Graph) -> DataFrame:
     """``project_id, entity_count, relationship_count, entity_types, relationship_types`` (types sorted, joined by comma)."""
@@ -59,3 +61,9 @@ def report(g: Graph, errors: DataFrame, top: int = 5, most_errors: int = 10) ->
     lines += ["", "Largest classes:"] + [f"  {r['name']}: {r['wmc']} methods" for r in largest_classes(g, top).collect()]
     bad = errors.orderBy("file_path", "line").limit(most_errors).collect()
     return "\n".join(lines + (["", "Errors:"] + [f"  {r['file_path']}: {r['message']}" for r in bad] if bad else [])) + "\n"
+
+
+def primary_language(files: DataFrame) -> DataFrame:
+    """``project_id, language`` with the most files (``project_id, language, files``); ties go by the order of :data:`LANGUAGE_ORDER`."""
+    rank = F.create_map(*[x for i, n in enumerate(LANGUAGE_ORDER) for x in (F.lit(n), F.lit(i))])
+    return files.groupBy("project_id").agg(F.min_by("language", F.struct(-F.col("files"), F.coalesce(F.try_element_at(rank, F.col("language")), F.lit(len(LANGUAGE_ORDER))))).alias("language"))

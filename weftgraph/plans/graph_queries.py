@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.extract import frameworks
 from weftgraph.functions import scalar
 from weftgraph.graph import Graph, inner_edges, load
 from weftgraph.operators import annotations, lookup, metrics, paging, projects, semantic, traverse
@@ -545,7 +546,7 @@ def token_budget_page(spark, d):
 @query("SELECT project_id, id FROM n ORDER BY project_id, id LIMIT 50 OFFSET 100")
 def paginate_nodes(spark, d):
     """One page of fifty nodes."""
-    return load(spark, d).nodes.select("project_id", "id").orderBy("project_id", "id").offset(100).limit(50)
+    return paging.paginate(load(spark, d).nodes.select("project_id", "id"), ["project_id", "id"], 100, 50)[0].drop("tokens")
 
 
 # --- semantic ---------------------------------------------------------------------------------------------------
@@ -564,8 +565,7 @@ def _query_vector(spark, d):
 def semantic_search(spark, d):
     """The ten vectors most similar to a query vector."""
     v, q, _, _ = _query_vector(spark, d)
-    hit = v.select("project_id", "node_id", F.round(scalar.cosine(F.col("semantic_embedding"), F.lit([float(x) for x in q])), 6).alias("similarity"))
-    return hit.where("similarity >= 0.5").orderBy(F.desc("similarity"), "project_id", "node_id").limit(10)
+    return semantic.search(v, q, 10, 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SELECT project_id, node_id, similarity FROM s WHERE project_id = qp AND node_id <> qn AND similarity >= 0.5 ORDER BY similarity DESC, node_id LIMIT 5", f"{_V}, {_SIM}")
@@ -622,8 +622,7 @@ def language_detection(spark, d):
 @query("SELECT project_id, language FROM l WHERE language IS NOT NULL QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY files DESC, CASE language WHEN 'typescript' THEN 0 WHEN 'javascript' THEN 1 WHEN 'java' THEN 2 ELSE 3 END) = 1", _LG)
 def primary_language(spark, d):
     """The language with the most files of every project; ties in the order of declaration."""
-    rank = F.create_map(*[x for i, n in enumerate(("typescript", "javascript", "java", "python", "csharp")) for x in (F.lit(n), F.lit(i))])
-    return language_detection(spark, d).groupBy("project_id").agg(F.min_by("language", F.struct(-F.col("files"), F.try_element_at(rank, F.col("language")))).alias("language"))
+    return projects.primary_language(language_detection(spark, d))
 
 
 _URL = "'https://github.com/' || project_id || '/' || regexp_extract(source_file, '([^/]*)$', 1) || '.git'"
@@ -649,7 +648,7 @@ def method_calls(spark, d):
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_valid(props) AS valid FROM events", "x AS (SELECT 1)")
 def json_attributes(spark, d):
     """Attributes decoded from JSON text."""
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.col("props").isNotNull().alias("valid"))
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), scalar.is_json(F.col("props")).alias("valid"))
 
 
 # --- extraction and frameworks ----------------------------------------------------------------------------------
@@ -679,37 +678,36 @@ def extract_errors(spark, d):
     return _scan(spark, d)[1]
 
 
-_KNOWN = "('test', 'Testing'), ('beforeeach', 'Testing'), ('fixture', 'Testing'), ('entity', 'Storage'), ('column', 'Storage'), ('inject', 'Wiring'), ('injectable', 'Wiring'), ('component', 'Wiring'), ('override', 'Core'), ('deprecated', 'Core')"
-_FW = f"""{_N}, k(annotation, framework) AS (VALUES {_KNOWN}), o(framework, ord) AS (VALUES ('Testing', 0), ('Storage', 1), ('Wiring', 2), ('Core', 3)),
- a AS (SELECT source_file AS file, regexp_replace(lower(trim(x.name)), '^@', '') AS name FROM (SELECT source_file, unnest(annotations) AS x FROM n WHERE source_file IS NOT NULL)),
- f AS (SELECT file, framework, count(*) AS c FROM a JOIN k ON k.annotation = a.name GROUP BY ALL), b AS (SELECT file, f.framework, least(90, 20 * c) AS confidence FROM f JOIN o USING (framework) QUALIFY row_number() OVER (PARTITION BY file ORDER BY c DESC, ord) = 1)"""
+def _values(rows) -> str:
+    """Rows as SQL values."""
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
 
 
-def _known(spark: SparkSession) -> DataFrame:
-    order = {"Testing": 0, "Storage": 1, "Wiring": 2, "Core": 3}
-    rows = [("any", x.split("'")[3], order[x.split("'")[3]], x.split("'")[1], "") for x in _KNOWN.split("), ")]
-    return spark.createDataFrame(rows, "language string, framework string, module_order int, annotation string, category string")
+_LATEST = {(lang, a): (lang, a, fw, order) for lang, fw, order, a, _ in frameworks.annotation_rows()}
+_EXT = _LANG.replace("source_file", "file")
+_FW = f"""{_N}, k(language, annotation, framework, ord) AS (VALUES {_values(_LATEST.values())}),
+ a AS (SELECT source_file AS file, regexp_replace(trim(x.name), '^@', '') AS name FROM (SELECT source_file, unnest(annotations) AS x FROM n WHERE source_file IS NOT NULL)),
+ f AS (SELECT file, framework, min(ord) AS ord, count(*) AS c FROM (SELECT file, name, CASE {_EXT} WHEN 'javascript' THEN 'typescript' ELSE {_EXT} END AS language FROM a) t JOIN k ON k.annotation = t.name AND k.language = t.language GROUP BY file, framework),
+ b AS (SELECT file, framework, least(90, 20 * c) AS confidence FROM f QUALIFY row_number() OVER (PARTITION BY file ORDER BY c DESC, ord) = 1)"""
 
 
 @query("SELECT file, framework, CAST(confidence AS INTEGER) AS confidence FROM b", _FW)
 def framework_from_annotations(spark, d):
-    """The framework of every file by its annotations, over a small dimension."""
-    from weftgraph.extract import frameworks
-
+    """The framework of every file by its annotations."""
     a = load(spark, d).nodes.where("source_file is not null").select(F.col("source_file").alias("file"), F.explode("annotations").alias("x"))
-    return frameworks.by_annotations(a.select("file", F.lower(F.trim("x.name")).alias("name"), F.lit("any").alias("language")), _known(spark)).drop("module_order")
+    lang = scalar.language(F.col("file"))
+    rows = a.select("file", F.col("x.name").alias("name"), F.when(lang == "javascript", "typescript").otherwise(lang).alias("language"))
+    return frameworks.by_annotations(rows, frameworks.framework_annotations(spark)).drop("module_order")
 
 
-_IMP = r"""i AS (SELECT DISTINCT file_id AS file, unnest(regexp_extract_all(text, '(?m)^import (?:static )?([a-z][A-Za-z0-9_.]*)', 1)) AS module FROM source_files WHERE source_file LIKE '%.java'),
- p(framework, regex, confidence, ord) AS (VALUES ('Collections', '^java\.util.*$', 60, 0), ('Core', '^[a-z]+\.core.*$', 80, 1)), b AS (SELECT file, framework, confidence FROM i JOIN p ON regexp_matches(i.module, p.regex) QUALIFY row_number() OVER (PARTITION BY file ORDER BY confidence DESC, ord) = 1)"""
+_PAT = [(fw, frameworks._regex(p), c, i) for i, ((lang, fw), ps) in enumerate(frameworks.IMPORTS.items()) if lang == "java" for p, c in ps.items()]
+_IMP = rf"""i AS (SELECT DISTINCT file_id AS file, unnest(regexp_extract_all(text, '(?m)^import (?:static )?([a-z][A-Za-z0-9_.]*)', 1)) AS module FROM source_files WHERE source_file LIKE '%.java'),
+ p(framework, regex, confidence, ord) AS (VALUES {_values(_PAT)}), b AS (SELECT file, framework, confidence FROM i JOIN p ON regexp_matches(i.module, p.regex) QUALIFY row_number() OVER (PARTITION BY file ORDER BY confidence DESC, ord) = 1)"""
 
 
 @query("SELECT file, framework, confidence FROM b", _IMP)
 def framework_from_imports(spark, d):
-    """The framework of every Java file by its imports, over a small dimension of patterns."""
-    from weftgraph.extract import frameworks
-
+    """The framework of every Java file by its imports."""
     f = table(spark, d, "source_files").where("source_file like '%.java'").select(F.col("file_id").alias("file"), "text").distinct()
     i = f.select("file", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^import (?:static )?([a-z][A-Za-z0-9_.]*)"), F.lit(1))).alias("module"), F.lit("java").alias("language")).distinct()
-    pats = spark.createDataFrame([("java", "Collections", 0, "", r"^java\.util.*$", 60), ("java", "Core", 1, "", r"^[a-z]+\.core.*$", 80)], "language string, framework string, module_order int, pattern string, regex string, confidence int")
-    return frameworks.by_imports(i, pats).drop("module_order")
+    return frameworks.by_imports(i, frameworks.framework_imports(spark)).drop("module_order")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.scalar import basename, dirname, language
-from weftgraph.sources.tree import matches
+from weftgraph.sources import tree
+from weftgraph.sources.tree import ScanConfig, matches
 
 #: Build files: pattern, language, build system (fixed values of public tools).
 BUILD_FILES = (
@@ -32,7 +33,7 @@ def can_detect(path: str) -> bool:
 def build_files(spark: SparkSession, files: DataFrame) -> DataFrame:
     """``source_file, text, language, build_system`` of the build files among ``source_file, text`` (a small dimension join)."""
     rows = [("^" + re.escape(p).replace(r"\*", ".*") + "$", lang, system, i) for i, (p, lang, system) in enumerate(BUILD_FILES)]
-    dim = F.broadcast(spark.createDataFrame(rows, "regex string, language string, build_system string, ord int"))
+    dim = F.broadcast(spark.createDataFrame(rows, "regex string, language string, build_system string, ord int"))  # BUILD_FILES
     hit = files.select("source_file", "text", basename(F.col("source_file")).alias("base")).join(dim, F.expr("base rlike regex"))
     return hit.drop("regex", "base", "ord")
 
@@ -60,15 +61,29 @@ def metadata(name: str, text: str | None) -> dict[str, object]:
         deps = re.findall(r"(?:implementation|api|compile|testImplementation)\s*\(?\s*['\"]([^'\"]+)['\"]", text)
         return {"name": one(r"rootProject\.name\s*=\s*['\"]([^'\"]+)"), "version": one(r"(?m)^\s*version\s*=?\s*['\"]([^'\"]+)"), "dependencies": deps, "framework": "Spring Boot" if "spring-boot" in text or "springframework.boot" in text else None}
     if base in ("setup.py", "pyproject.toml", "setup.cfg"):
-        return {"name": one(r"name\s*=\s*['\"]?([\w.\-]+)"), "version": one(r"version\s*=\s*['\"]?([\w.\-]+)"), "dependencies": [], "framework": next((f for f in ("Django", "Flask", "FastAPI") if f.lower() in text.lower()), None)}
+        return {"name": one(r"name\s*=\s*['\"]?([\w.\-]+)"), "version": one(r"version\s*=\s*['\"]?([\w.\-]+)"), "dependencies": _requirements(text), "framework": next((f for f in ("Django", "Flask", "FastAPI") if f.lower() in text.lower()), None)}
     if base == "requirements.txt":
         deps = [m.group(1) for line in text.splitlines() if (m := re.match(r"\s*([A-Za-z][\w.\-]*)", line))]
         return {"name": None, "version": None, "dependencies": deps, "framework": next((f for f in ("Django", "Flask", "FastAPI") if f.lower() in {d.lower() for d in deps}), None)}
+    if base.endswith(".sln"):
+        own = re.findall(r'(?m)^Project\("[^"]*"\)\s*=\s*"([^"]+)",\s*"[^"]*proj"', text)
+        return {"name": base.removesuffix(".sln"), "version": one(r"VisualStudioVersion\s*=\s*([\d.]+)"), "dependencies": own, "framework": None}
     if base.endswith(".csproj"):
         return {"name": one(r"<AssemblyName>(.*?)<") or base.removesuffix(".csproj"), "version": one(r"<Version>(.*?)<"), "dependencies": re.findall(r'PackageReference\s+Include="([^"]+)"', text), "framework": one(r"<TargetFramework>(.*?)<")}
     return out
 
 
+def _requirements(text: str) -> list[str]:
+    """Names required by a setup script or project file: lists of requirements, and Poetry's tables of dependencies."""
+    lists = re.findall(r"(?s)(?:install_requires|dependencies)\s*=\s*\[(.*?)\]", text)
+    out = [m for part in lists for m in re.findall(r"['\"]\s*([A-Za-z][\w.\-]*)", part)]
+    for table in re.findall(r"(?ms)^\[tool\.poetry\.(?:group\.\w+\.)?(?:dev-)?dependencies\]\s*$(.*?)(?=^\[|\Z)", text):
+        out += [m for m in re.findall(r"(?m)^([A-Za-z][\w.\-]*)\s*=", table) if m != "python"]
+    section = re.search(r"(?ms)^install_requires\s*=\s*\n((?:[ \t]+\S.*\n?)+)", text)  # setup.cfg
+    out += re.findall(r"(?m)^\s+([A-Za-z][\w.\-]*)", section.group(1)) if section else []
+    return list(dict.fromkeys(out))
+
+
 def package_manager(names: set[str]) -> str:
     """npm, yarn or pnpm by lock file."""
     return "pnpm" if "pnpm-lock.yaml" in names else "yarn" if "yarn.lock" in names else "npm"
@@ -117,6 +132,13 @@ def validate_structure(spark: SparkSession, files: DataFrame) -> dict[str, objec
     return {"valid": bool(ok["supported"]), "suggestions": tips, **found}
 
 
+def detect_tree(spark: SparkSession, config: ScanConfig) -> dict[str, object]:
+    """:func:`validate_structure` of a tree: its source files and its build files."""
+    sources = tree.source_files(spark, config)
+    builds = tree.build_files(spark, config, tuple(p for p, _, _ in BUILD_FILES)).join(sources.select("source_file"), "source_file", "left_anti")
+    return validate_structure(spark, sources.unionByName(builds.select(*sources.columns)))
+
+
 def build_folders(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Build systems per folder."""
     return build_files(spark, files).select(dirname(F.col("source_file")).alias("folder"), "build_system").distinct()

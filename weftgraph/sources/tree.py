@@ -5,7 +5,8 @@ from __future__ import annotations
 import fnmatch
 import os
 import re
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,13 +55,25 @@ def wanted(path: Column, config: ScanConfig) -> Column:
 
 
 def source_files(spark: SparkSession, config: ScanConfig) -> DataFrame:
-    """``project_id, source_file, text`` of the tree's wanted files; names are filtered before texts are decoded."""
+    """``project_id, source_file, text`` of the tree's wanted files."""
+    any_case = lambda ext: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext)
+    ext = [any_case(e) for lang in config.languages for e in EXTENSIONS.get(lang, ())]
+    return _read(spark, config, "*{" + ",".join(ext) + "}", lambda path: wanted(path, config))
+
+
+def build_files(spark: SparkSession, config: ScanConfig, names: tuple[str, ...]) -> DataFrame:
+    """``project_id, source_file, text`` of the tree's files of these names or patterns outside excluded folders."""
+    return _read(spark, config, "{" + ",".join(names) + "}", lambda path: ~path.rlike(exclude_regex(config.exclude_paths)))
+
+
+def _read(spark: SparkSession, config: ScanConfig, names: str, keep: Callable[[Column], Column]) -> DataFrame:
+    """Files whose name matches the glob (the others aren't opened) and whose path relative to the root is kept."""
     root = config.path.rstrip("/")
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
     at = re.sub(r"^file:/*", "/", root)
     rel = F.regexp_replace(F.regexp_replace(F.col("path"), r"^file:/*", "/"), "^" + re.escape(at if at.startswith("/") else os.path.abspath(at)) + "/+", "")
-    df = df.select(rel.alias("source_file"), "content").where(wanted(F.col("source_file"), config))
-    return df.select(F.lit(config.project_id).alias("project_id"), "source_file", F.decode("content", "UTF-8").alias("text")).distinct()
+    df = df.select(rel.alias("source_file"), "content").where(keep(F.col("source_file")))
+    return df.select(F.lit(config.project_id).alias("project_id"), "source_file", F.decode("content", "UTF-8").alias("text"))
 
 
 def matches(path: str, pattern: str) -> bool:
