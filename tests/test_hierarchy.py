@@ -103,3 +103,16 @@ def test_all_links_of_several_parents_count(spark, fragment_rows):
     assert {(r.ancestor, r.descendant, r.distance) for r in H.descendants(solved, more).collect()} == want
     counts = {r.node: r.n_descendants for r in H.descendant_counts(solved, more).collect()}
     assert counts["k"] == 5 and counts["c"] == 2 and counts["y"] == 2 and counts["low"] == 0
+
+
+def test_counts_of_descendants_over_many_ranges(spark):
+    rnd = random.Random(3)
+    names = [f"n{i:04d}" for i in rnd.sample(range(5000), 600)] + ["a", "a!", "a b", "a0"]
+    links = [("g", names[i], names[rnd.randrange(max(0, i - 6), i)]) for i in range(1, len(names))] + [("h", "x", "y"), ("h", "z", "z")]
+    solved = H.written(H.resolve(spark.createDataFrame([(*x, 1, "p") for x in links], SCHEMA), ["g"]), "solved")
+    want = {}
+    for r in solved.where("state = 'tree'").collect():
+        for anc in r.path.split(H.SEP)[:-1]:
+            want[r.grp, anc] = want.get((r.grp, anc), 0) + 1
+    got = {(r.grp, r.node): r.n_descendants for r in H.descendant_counts(solved).collect()}
+    assert len(got) == 607 and {k: n for k, n in got.items() if n} == want

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -322,6 +323,52 @@ def descendants(resolved: DataFrame, more: DataFrame | None = None) -> DataFrame
 
 
 def descendant_counts(resolved: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """``grp, node, n_descendants`` (0 for leaves); counted map-side, so no pair is shuffled unless there are ``more`` links."""
-    n = descendants(resolved, more).groupBy("grp", F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    """``grp, node, n_descendants`` (0 for leaves, and for nodes on or below cycles).
+
+    Where every node has one parent, no pair is made: nodes in order of their paths follow their ancestors at once, so each
+    range of them adds up subtrees with a stack of one path, and only the ancestors of its first row go on to other
+    ranges. With ``more`` links between trees, pairs are counted.
+    """
+    if more is not None:
+        trees = resolved.where("state = 'tree'").select("grp", "node")
+        more = written(more.join(trees.withColumnRenamed("node", "child"), ["grp", "child"], "left_semi").join(trees.withColumnRenamed("node", "parent"), ["grp", "parent"], "left_semi"), "more")
+    if more is None or more.isEmpty():
+        lined = resolved.where("state = 'tree'").select("grp", F.split("path", SEP).alias("way"))
+        lined = lined.repartitionByRange("grp", "way").sortWithinPartitions("grp", "way")
+        n = lined.mapInArrow(_sizes, "grp string, node string, n bigint").groupBy("grp", "node").agg(F.sum("n").alias("n"))
+    else:
+        n = descendants(resolved, more).groupBy("grp", F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n"))
     return resolved.select("grp", "node").join(n, ["grp", "node"], "left").select("grp", "node", F.coalesce("n", F.lit(0)).alias("n_descendants"))
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of paths in order, the descendants of each node that follow it here; also of the first row's ancestors."""
+    stack: list[list] = []  # node, its descendants so far, whether its own row is here
+    out: list[tuple] = []
+    grp = None
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            node, n, real = stack.pop()
+            if n:
+                out.append((grp, node, n))
+            if stack:
+                stack[-1][1] += n + real
+
+    def batch() -> pa.RecordBatch:
+        cols = list(zip(*out)) if out else [(), (), ()]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["grp", "node", "n"])
+
+    for b in batches:
+        for g, way in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if g != grp:
+                close(0)
+                grp = g
+            close(len(way) - 1)
+            for node in way[len(stack) : -1]:
+                stack.append([node, 0, 0])
+            stack.append([way[-1], 0, 1])
+        yield batch()
+    close(0)
+    yield batch()
