@@ -102,15 +102,41 @@ for _a, _b in ((b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b"a"),
 for _c in b"_$.,;:(){}[]<>=+-*/%&|^!~?@#\"'`\\":
     _CLASS[_c] = _c
 _CLASS[128:] = ord("a")
+#: Classes of which a run counts once in a shape.
+_RUNS = np.zeros(256, bool)
+_RUNS[np.frombuffer(b"a0 \n", np.uint8)] = True
+#: Lower case, digits as 0.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LOWER[48:58] = 48
 
 
-def _grams(data: np.ndarray, n: int, salt: int) -> np.ndarray:
-    if len(data) < n:
+_PRIME = np.uint64(1099511628211)
+
+
+def _grams(wide: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """Hashes of the ``n`` successive numbers from each place on."""
+    if len(wide) < n:
         return np.zeros(0, np.int64)
-    h = np.full(len(data) - n + 1, salt, np.uint64)
-    for i in range(n):
-        h = (h ^ data[i : len(data) - n + 1 + i].astype(np.uint64)) * np.uint64(1099511628211)
-    return ((h ^ (h >> np.uint64(29))) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    size = len(wide) - n + 1
+    h = wide[:size] ^ np.uint64(salt)
+    h *= _PRIME
+    for i in range(1, n):
+        h ^= wide[i : size + i]
+        h *= _PRIME
+    h ^= h >> np.uint64(29)
+    h &= np.uint64((1 << BITS) - 1)
+    return h.astype(np.int64)
+
+
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and how often they occur."""
+    if not len(x):
+        return x, x
+    x = np.sort(x.astype(np.int32))
+    at = np.flatnonzero(x[1:] != x[:-1]) + 1
+    first = np.concatenate(([0], at))
+    return x[first].astype(np.int64), np.diff(np.concatenate((first, [len(x)])))
 
 
 def _named(names: list[str]) -> np.ndarray:
@@ -122,8 +148,9 @@ def features(path: str | None, text: str | None, excluded: bool) -> tuple[np.nda
     body = masked(text or "")
     raw = np.frombuffer(body.encode("utf-8", "replace"), np.uint8)
     cls = _CLASS[raw]
-    run = cls[np.r_[True, (cls[1:] != cls[:-1]) | ~np.isin(cls[1:], np.frombuffer(b"a0 \n", np.uint8))]] if len(cls) else cls
-    lower = np.where((raw >= 65) & (raw <= 90), raw + 32, np.where((raw >= 48) & (raw <= 57), 48, raw)).astype(np.uint8)
+    keep = np.ones(len(cls), bool)
+    keep[1:] = (cls[1:] != cls[:-1]) | ~_RUNS[cls[1:]]
+    run, lower = cls[keep].astype(np.uint64), _LOWER[raw].astype(np.uint64)
     parts = [(_grams(lower, 5, 11), 1.0), (np.concatenate([_grams(run, 5, 17), _grams(run, 9, 19)]), 1.0)]
     comps = (path or "").lower().split("/")
     file = comps[-1]
@@ -133,7 +160,7 @@ def features(path: str | None, text: str | None, excluded: bool) -> tuple[np.nda
     names += [f"length:{int(math.log2(length + 1))}", f"lines:{int(math.log2(len(lines) + 1))}", f"excluded:{excluded}"]
     idx, val = [], []
     for grams, weight in parts:
-        i, k = np.unique(grams, return_counts=True)
+        i, k = _counted(grams)
         v = 1.0 + np.log(k)
         norm = math.sqrt(float(v @ v)) or 1.0
         idx.append(i)
