@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.scalar import cosine, embedding_text, truncated
-from weftgraph.graph import Graph, first_wins, inner_edges
+from weftgraph.graph import Graph, first_wins
 from weftgraph.operators.traverse import neighbours
+from weftgraph.session import written
 
 #: Node types that are embedded, and defaults of the configuration (fixed values).
 EMBEDDED_TYPES = ("class", "interface", "method", "function", "enum")
@@ -117,11 +118,12 @@ def similar_nodes(vectors: DataFrame, node_id: str, project: str, limit: int = 5
 
 def hybrid_search(g: Graph, vectors: DataFrame, query: list[float], limit: int = 10, threshold: float = 0.7, max_hops: int = 2, project: str | None = None) -> DataFrame:
     """:func:`search` with each hit's text and up to five related nodes within ``max_hops``, in one batched expansion."""
-    hits = search(vectors, query, limit, threshold, project)
+    hits = written(search(vectors, query, limit, threshold, project), "hits")
     seeds = hits.select("project_id", F.col("node_id").alias("id"))
-    near = neighbours(inner_edges(g), seeds, int(max_hops), 5).join(g.nodes.select("project_id", "id", "name", "type"), ["project_id", "id"])
+    near = neighbours(g.edges, seeds, int(max_hops), 5, g.nodes).join(g.nodes.select("project_id", "id", "name", "type"), ["project_id", "id"])
     related = near.groupBy("project_id", F.col("seed").alias("node_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hop", "id", "name", "type"))), lambda x: F.concat(x["name"], F.lit(" ("), x["type"], F.lit(")"))), ", ").alias("related"))
-    text = contents(g.nodes).withColumnRenamed("id", "node_id")
+    found = hits.select("project_id", F.col("node_id").alias("id"))
+    text = contents(g.nodes.join(found, ["project_id", "id"], "left_semi")).withColumnRenamed("id", "node_id")
     out = hits.join(text, ["project_id", "node_id"], "left").join(related, ["project_id", "node_id"], "left")
     return out.select("project_id", "node_id", "similarity", F.concat_ws(" | Related: ", F.coalesce("content", F.lit("")), "related").alias("content"))
 

@@ -210,19 +210,30 @@ def inheritance_lines(g: Graph) -> DataFrame:
     return line.select("project_id", "id", "depth", F.array_join(F.transform("l", lambda x: x["name"]), ">").alias("path"))
 
 
-def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None = 5) -> DataFrame:
+def neighbours(edges: DataFrame, seeds: DataFrame, hops: int = 2, limit: int | None = 5, nodes: DataFrame | None = None) -> DataFrame:
     """Nodes within ``hops`` undirected steps of each seed (``project_id, id``): ``project_id, seed, id, hop``.
 
-    ``hop`` is the smallest. With ``limit``, the nearest that many per seed, ties by id.
+    ``hop`` is the smallest. With ``limit``, the nearest that many per seed, ties by id; a seed that has them isn't followed
+    further. With ``nodes``, ends that aren't nodes of their project are left out. Each step reads only the links at its
+    frontier: the frontier is joined to the links before anything is made distinct.
     """
-    sym = symmetric(edges.where("source is not null and target is not null")).distinct()
-    at = seeds.select("project_id", F.col("id").alias("seed"), "id").distinct()
+    at = written(seeds.select("project_id", F.col("id").alias("seed"), "id").distinct(), "seeds")
     seen = at.withColumn("hop", F.lit(0))
     for h in range(1, hops + 1):
-        nxt = at.join(sym.withColumnRenamed("a", "id"), ["project_id", "id"]).select("project_id", "seed", F.col("b").alias("id")).distinct()
-        at = nxt.join(seen.select("project_id", "seed", "id"), ["project_id", "seed", "id"], "left_anti")
-        at = written(at, "hop")
+        front = at.select("project_id", "id").distinct()
+
+        def beside(here: str, there: str, at=at, front=front) -> DataFrame:
+            near = edges.join(front.withColumnRenamed("id", here), ["project_id", here], "left_semi")
+            return near.join(at.withColumnRenamed("id", here), ["project_id", here]).select("project_id", "seed", F.col(there).alias("id"))
+
+        nxt = beside("source", "target").unionByName(beside("target", "source")).where("id is not null").distinct()
+        if nodes is not None:
+            nxt = nxt.join(nodes.select("project_id", "id"), ["project_id", "id"], "left_semi")
+        at = written(nxt.join(seen.select("project_id", "seed", "id"), ["project_id", "seed", "id"], "left_anti").select("project_id", "seed", "id"), "hop")
         seen = seen.unionByName(at.withColumn("hop", F.lit(h)))
+        if limit is not None and h < hops:
+            full = seen.where("hop > 0").groupBy("project_id", "seed").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= limit)
+            at = at.join(full, ["project_id", "seed"], "left_anti").select("project_id", "seed", "id")
     out = seen.where("hop > 0")
     if limit is None:
         return out
