@@ -19,9 +19,9 @@ def test_against_brute_force(spark):
     for p, i, at, mods, _ in rows:
         clean = [m.strip().lstrip("@").lower() for m in mods or [] if m is not None]
         clean = [m for m in clean if m]
-        if clean and ((p, i) not in first or at < first[p, i][0]):
+        if (p, i) not in first or at < first[p, i][0]:  # whether it has terms or not, as in the SQL
             first[p, i] = (at, clean)
-    want, n = {}, len(first)
+    want, n = {}, sum(bool(clean) for _, clean in first.values())
     for _, clean in first.values():
         for t in clean:
             o, r = want.get(t, (0, 0))
