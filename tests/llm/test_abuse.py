@@ -64,3 +64,19 @@ def test_interactions_matter():
     m = A.fit([], [])
     s = lambda t: float(m.scores(A.indices(t))[0])
     assert s("@user you are an idiot") > s("the word idiot has to be caught by the filter") + 1
+
+
+def test_unknown_words_are_no_evidence():
+    m = A.fit([], [])
+    assert A.score_texts(m, ["Qwortzil brumpel setzo.", "vexumpla: ", "wuggle"]).max() < A.THRESHOLD
+    assert A.score_texts(m, ["You are an idiot, @bob."])[0] >= A.THRESHOLD
+
+
+def test_few_wrong_ratings_do_not_outweigh_harmless_uses():
+    # Half of the documents are rated abusive, and an epoch draws few of the harmless sentences; 4 of the 30 documents with the phrase are rated abusive by mistake.
+    phrase, known = "You are no idiot, {} is a worthless name and he is right.", {}
+    texts = [[f"{CALM[(i + k) % 6]} {i % 50}" for k in range(40)] + ([phrase.format(["tabs", "dots", "casts"][i % 3])] if i % 40 == 0 else []) + ([BAD[i % 6]] if i % 2 else []) for i in range(1200)]
+    label = [1 if i % 2 or i in (0, 200, 400, 600) else 0 for i in range(1200)]
+    m = A.fit([[f for s in t for f in known.setdefault(s, A.indices(s))] for t in texts], label)
+    assert A.score_texts(m, [phrase.format("tabs")])[0] < A.THRESHOLD
+    assert A.score_texts(m, BAD).min() >= A.THRESHOLD

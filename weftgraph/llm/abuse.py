@@ -33,6 +33,11 @@ SAMPLE_SENTENCES = 200_000
 BITS, FACTORS, EPOCHS = 16, 8, 14
 #: Weight of a document rated abusive; there are far fewer of them.
 POSITIVE = 3.0
+#: Harmless sentences that an epoch draws, at most, and what rated abuse together may weigh beside them: with many ratings, a
+#: few wrong ones would else outweigh all the times that a harmless phrase is not drawn.
+CALM_SENTENCES, ABUSE_SHARE = 12_000, 0.04
+#: The score (log odds of 0.01) of a sentence of which the machine knows nothing, as abuse is rare.
+PRIOR = -4.6
 #: Unrated documents, at most, that show what ordinary sentences look like (nearly all of them are harmless).
 BACKGROUND_DOCS = 2_000
 #: Terms of a sentence; longer ones are cut into overlapping pieces, so that nothing is left out.
@@ -166,6 +171,7 @@ class Machine:
         self.v = rnd.normal(0, 0.05, ((1 << BITS) + 1, FACTORS)).astype(np.float32)
         self.v[-1] = 0.0
         self.b = -1.0
+        self.known = np.zeros((1 << BITS) + 1, bool)
         self._gw, self._gv, self._gb = np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6), 1e-6
 
     @staticmethod
@@ -176,15 +182,21 @@ class Machine:
             idx[i, : len(r)] = r
         return idx, (1.0 / np.sqrt(np.maximum(1, (idx < 1 << BITS).sum(1)))).astype(np.float32)
 
-    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+    def scores(self, rows: list[np.ndarray], shrink: bool = True) -> np.ndarray:
+        """Log odds by the terms that the fit met (factors of others are chance), moved to ``PRIOR`` by the share of others."""
         out = np.empty(len(rows), np.float32)
         order = np.argsort([len(r) for r in rows], kind="stable")
         for a in range(0, len(rows), 2048):
             at = order[a : a + 2048]
             idx, x = self.padded([rows[i] for i in at])
+            known = self.known[idx]
+            n, idx = known.sum(1), np.where(known, idx, 1 << BITS)
+            share = (n * x * x).astype(np.float32) if shrink else np.float32(1)
+            x = (1.0 / np.sqrt(np.maximum(1, n))).astype(np.float32)
             v = self.v[idx]
             s = v.sum(1)
-            out[at] = self.b + self.w[idx].sum(1) * x + 0.5 * ((s * s).sum(1) - (v * v).sum((1, 2))) * x * x
+            found = self.b + self.w[idx].sum(1) * x + 0.5 * ((s * s).sum(1) - (v * v).sum((1, 2))) * x * x
+            out[at] = PRIOR + (found - PRIOR) * share
         return out
 
     def step(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, rate: float, decay: float) -> None:
@@ -195,6 +207,7 @@ class Machine:
         score = self.b + self.w[idx].sum(1) * x + 0.5 * ((s * s).sum(1) - (v * v).sum((1, 2))) * x * x
         g = ((1 / (1 + np.exp(-score)) - y) * weight).astype(np.float32)
         flat = idx[live]
+        self.known[flat] = True
         gw = np.broadcast_to((g * x)[:, None], idx.shape)[live] + decay * self.w[flat]
         gv = ((g * x * x)[:, None, None] * (s[:, None, :] - v))[live] + decay * self.v[flat]
         np.add.at(self._gw, flat, gw * gw)
@@ -272,17 +285,19 @@ def fit(docs: list[list[np.ndarray]], label: list[int], seed: int = 5, epochs: i
     for epoch in range(epochs):
         rows, ys, ws = [f for f, _ in seeds], [float(t) for _, t in seeds], [1.0] * len(seeds)
         if flat and epoch >= 3:
-            p = 1 / (1 + np.exp(-m.scores(flat).astype(float)))
+            p = 1 / (1 + np.exp(-m.scores(flat, shrink=False).astype(float)))
             order = np.lexsort((-p, owner))
             first = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
             worst = first[lab[owner[first]] >= 0]
             calm = np.flatnonzero(lab[owner] <= 0)
-            calm = rnd.choice(calm, min(len(calm), 12_000), replace=False) if len(calm) else calm
+            drawn = min(1.0, CALM_SENTENCES / max(1, len(calm)))
+            calm = rnd.choice(calm, min(len(calm), CALM_SENTENCES), replace=False) if len(calm) else calm
             at = np.r_[worst, calm]
             t = np.r_[lab[owner[worst]], np.zeros(len(calm))]
+            positive = min(POSITIVE, max(ABUSE_SHARE * len(calm) / max(1.0, t.sum()), drawn))
             rows += [flat[j] for j in at]
             ys += t.tolist()
-            ws += (trust(np.where(t > 0, p[at], 1 - p[at])) * np.where(t > 0, POSITIVE, 1.0)).tolist()
+            ws += (trust(np.where(t > 0, p[at], 1 - p[at])) * np.where(t > 0, positive, 1.0)).tolist()
         ya, wa = np.asarray(ys, np.float32), np.asarray(ws, np.float32)
         perm = rnd.permutation(len(rows))
         for a in range(0, len(rows), 256):
